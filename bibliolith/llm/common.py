@@ -1,54 +1,14 @@
-"""Helpers shared by the training-data operators: scratch tables, distributed numbering, word hashing."""
+"""Helpers shared by the training-data operators: distributed numbering, Arrow batches, word hashing."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-
-def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: `spark.checkpoint.dir`, or one of our own where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="bibliolith-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` as a Parquet table in the shared folder and read it back: lineage ends there, and a lost executor costs no recomputation."""
-    spark = df.sparkSession
-    path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._scratch_path = path
-    return out
-
-
-def discard(*frames: DataFrame) -> None:
-    """Delete tables made by `materialize` that no later plan reads."""
-    for df in frames:
-        spark = df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(df._scratch_path)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
-def release_shuffles(spark: SparkSession) -> None:
-    """Let Spark's cleaner drop shuffle files of finished jobs: it acts when the driver collects garbage."""
-    import gc
-
-    gc.collect()
-    spark._jvm.System.gc()
-
-
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+from ..scratch import discard, materialize, release_shuffles, scratch_dir, shuffle_partitions  # noqa: F401
 
 
 def text_bytes(text: Column) -> Column:
@@ -107,6 +67,22 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix64((prefix[ends] - prefix[starts]) * down[starts] ^ (ends - starts).astype(np.uint64) << np.uint64(56))
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Keep Arrow batches small where rows hold whole texts, so that a worker's memory is bounded."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+
+
+def slices(offsets: np.ndarray, limit: int) -> list[tuple[int, int]]:
+    """Row ranges of about `limit` bytes each; a longer row stands alone."""
+    out, at, n = [], 0, len(offsets) - 1
+    while at < n:
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + limit, "right")) - 1)
+        out.append((at, min(to, n)))
+        at = out[-1][1]
+    return out
+
+
 def binary_batch(column) -> tuple[np.ndarray, np.ndarray]:
     """An Arrow string or binary array as one byte array and the n + 1 offsets of its rows (null rows are empty)."""
     import pyarrow as pa
