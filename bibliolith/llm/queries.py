@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, htmltext, neardup, packing, pii, quality, sharding, suffix
+from . import decontam, hamming, htmltext, neardup, packing, pii, quality, secrets, sharding, suffix
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.scan(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+
+
 def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents").select("doc_id", "text"), shards=8)
 
@@ -48,11 +52,18 @@ def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
 
 
+def op5_hamming_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes = table(spark, sf_dir, "embeddings").select("vec_id", hamming.sign_code(F.col("embedding")).alias("code"))
+    return hamming.top_k(codes, codes.where("vec_id % 100 = 0").select(F.col("vec_id").alias("query_id"), "code"), k=10)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secret_scan": op1_secret_scan,
     "op2_sharding": op2_sharding,
     "op10_minhash_near_dedup": op10_minhash_near_dedup,
     "op3_pii": op3_pii,
     "op4_suffix_array_dedup": op4_suffix_array_dedup,
+    "op5_hamming_top_k": op5_hamming_top_k,
     "op6_quality_classifier": op6_quality_classifier,
     "op7_best_fit_packing": op7_best_fit_packing,
     "op8_html_extraction": op8_html_extraction,
@@ -60,4 +71,14 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 #: SQL of the queries that SQL can express on whole tables.
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_hamming_top_k": """
+        WITH d AS (
+            SELECT q.vec_id AS query_id, e.vec_id,
+                   CAST(list_sum([CASE WHEN coalesce(q.embedding[i] > 0, false) <> coalesce(e.embedding[i] > 0, false) THEN 1 ELSE 0 END FOR i IN range(1, 65)]) AS BIGINT) AS distance
+            FROM embeddings q, embeddings e
+            WHERE q.vec_id % 100 = 0),
+        r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM d)
+        SELECT query_id, CAST(rank AS BIGINT) AS rank, vec_id, distance FROM r WHERE rank <= 10
+    """,
+}
