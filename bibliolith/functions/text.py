@@ -75,7 +75,7 @@ def initials(author: Column) -> Column:
 
 
 def authors(c: Column) -> Column:
-    return F.filter(F.transform(F.split(c, r"\s+and\s+"), F.trim), lambda a: a != "")
+    return F.filter(F.transform(F.split(c, r"\s+and\s+"), lambda a: F.trim(a)), lambda a: a != "")
 
 
 def lax_number(c: Column) -> Column:
