@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from ..scratch import discard, materialize
 
 
-def _fingerprint(edges: DataFrame) -> tuple:
-    r = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")).first()
-    return r.n, r.h
+def _is_settled(edges: DataFrame) -> bool:
+    """Are the edges (u, v) stars already: every u has one v, and no v is a u?"""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("child"), F.lit(0).alias("parent")).union(edges.select("v", F.lit(0), F.lit(1)))
+    roles = ends.groupBy("node").agg(F.sum("child").alias("child"), F.max("parent").alias("parent"))
+    return roles.agg(F.count_if((F.col("child") > 1) | ((F.col("child") > 0) & (F.col("parent") > 0))).alias("n")).first().n == 0
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -30,24 +32,21 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
 def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     """(node, component) for every endpoint of `edges` (columns src, dst); a component is named by its least node.
 
-    Alternates large-star (each node's larger neighbours move to the least neighbour) and small-star steps until nothing
-    changes: O(log^2 n) rounds, each two shuffles of the edges, whatever the diameter. Self-loops give single nodes; rows
-    with a null endpoint are ignored; repeated edges count once; no edges give no rows.
+    Alternates large-star (each node's larger neighbours move to the least neighbour) and small-star steps until only
+    stars are left: O(log^2 n) rounds, each two shuffles of the edges, whatever the diameter, and none for edges that are
+    stars from the start. Self-loops give single nodes; rows with a null endpoint are ignored; repeated edges count once;
+    no edges give no rows.
     """
     clean = edges.where("src is not null and dst is not null").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v"))
-    current = materialize(clean.distinct(), "star-edges")
-    nodes = materialize(current.select(F.col("u").alias("node")).union(current.select("v")).distinct(), "star-nodes")
-    state = _fingerprint(current.where("u <> v"))
-    for _ in range(max_rounds if state[0] else 0):
-        mid = _star(current.where("u <> v"), True)
-        after = _star(mid, False)
-        discard(current, mid)
-        current, before = after, state
-        state = _fingerprint(current)
-        if state == before:
-            break
-    else:
-        if state[0]:
+    first = materialize(clean.distinct(), "star-edges")
+    nodes = first.select(F.col("u").alias("node")).union(first.select("v")).distinct()
+    current = first.where("u <> v")
+    rounds = 0
+    while not _is_settled(current):
+        if rounds == max_rounds:
             raise RuntimeError(f"components did not converge in {max_rounds} rounds")
-    roots = current.where("u <> v").groupBy(F.col("u").alias("node")).agg(F.min("v").alias("component"))
-    return nodes.join(roots, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+        mid = _star(current, True)
+        after = _star(mid, False)
+        discard(mid, *([current] if rounds else []))
+        current, rounds = after, rounds + 1
+    return nodes.join(current.select(F.col("u").alias("node"), F.col("v").alias("component")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
