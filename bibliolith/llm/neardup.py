@@ -4,10 +4,12 @@ A document's MinHash samples are folded into a parity bitmap (an odd sketch): sa
 two sketches flips a bit for every sample that differs, so its population count x gives the similarity as
 1 + n / (4 k) * ln(1 - 2 x / n) with a small error just where it matters, at high similarities.
 
-Only connectivity within a band bucket is needed, so a bucket is not expanded into its pairs. First every member is
-compared with the bucket's least member, at most one pair for each document and band. Then only buckets that still hold
-several components are compared member by member across components, in tiles of bounded size; sketches sift these pairs
-inside the join, and what is left is confirmed.
+A band bucket is not expanded into its pairs. Its members are compared with its least and its greatest member by sketch,
+at most two pairs for each document and band; documents whose sketches agree form clusters. Only buckets that still
+hold several clusters are compared member by member across them, and only to merge clusters. So every proposed pair
+that the sketches let pass lies in one cluster. Clusters are then confirmed in tiles of bounded size, all pairs of a
+tile at once as a product of its incidence matrix; a text travels once for each tile it meets. In clusters of several tiles a
+pass over the proposed pairs comes first, and tiles of one confirmed component are not held against each other.
 """
 
 from __future__ import annotations
@@ -16,19 +18,21 @@ from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..operators.components import connected_components
-from .common import binary_batch, discard, materialize, mix64, slices, small_batches, span_hashes
+from .common import binary_batch, discard, materialize, mix64, release_shuffles, slices, small_batches, span_hashes
 
 #: MinHash samples as bands of rows: a pair at similarity 0.75 misses all bands with a chance of (1 - 0.75 ** 4) ** 32 < 6e-6.
 BANDS, ROWS = 32, 4
 SAMPLES = BANDS * ROWS
-#: Bits of the odd sketch, and the estimate below which a pair isn't confirmed: over five standard deviations under 0.75.
-SKETCH_BITS, LEAST_ESTIMATE = 256, 0.5
-#: Rows of a bucket that one task compares with one another.
-TILE = 512
+#: Bits of the odd sketch, and the estimate below which a pair isn't confirmed: over four standard deviations under 0.75.
+SKETCH_BITS, LEAST_ESTIMATE = 256, 0.55
+#: Rows of a bucket's tile, and shingles of a cluster's tile, that one task holds against another tile.
+TILE, TILE_SHINGLES = 512, 150_000
 #: The multipliers of the MinHash functions, drawn once from a fixed seed.
 _FACTORS = np.random.default_rng(20_250_101).integers(1, 1 << 63, SAMPLES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -76,8 +80,6 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int = 5) -> tuple
 
 
 def _signatures(batches: Iterator, width: int) -> Iterator:
-    import pyarrow as pa
-
     for batch in batches:
         data, offsets = binary_batch(batch.column(1))
         for a, b in slices(offsets, 1 << 20):
@@ -114,8 +116,6 @@ def _estimate(a: str, b: str) -> Column:
 
 
 def _confirm(batches: Iterator, width: int, num: int, den: int) -> Iterator:
-    import pyarrow as pa
-
     last: tuple = (None, None)
     for batch in batches:
         ids, other, text, its = (batch.column(k) for k in range(4))
@@ -134,21 +134,127 @@ def _confirm(batches: Iterator, width: int, num: int, den: int) -> Iterator:
 def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
     """Of (src, dst) pairs, those whose full shingle sets have a Jaccard similarity of num / den or more."""
     ids = pairs.select(F.col("src").alias("id")).union(pairs.select("dst")).distinct()
-    used = texts.join(ids, "id", "left_semi")
+    used = texts.join(ids.hint("merge"), "id", "left_semi")  # never broadcast: the ids grow with the corpus
     a, b = (used.select(F.col("id").alias(k), F.col("text").alias(f"{k}_text")) for k in ("src", "dst"))
-    full = pairs.join(a, "src").join(b, "dst").select("src", "dst", "src_text", "dst_text")
+    full = pairs.hint("merge").join(a, "src").hint("merge").join(b, "dst").select("src", "dst", "src_text", "dst_text")
     return full.mapInArrow(partial(_confirm, width=width, num=num, den=den), "src long, dst long")
 
 
+def _tile_links(table: pa.Table, width: int, num: int, den: int) -> pa.Table:
+    """Links that join the components of a tile pair: a spanning forest of the confirmed pairs of different components."""
+
+    table = table.sort_by("id").combine_chunks()
+    ids, component = table.column("id").to_numpy(), table.column("component").to_numpy()
+    g, at = shingle_sets(*binary_batch(table.column("text").chunk(0)), width)
+    size = np.diff(at)
+    row = np.repeat(np.arange(len(ids)), size)
+    shingles, column, count = np.unique(g, return_inverse=True, return_counts=True)
+    often = count > 1
+    number = np.cumsum(often) - 1
+    both = np.zeros((len(ids), len(ids)), np.float32)
+    keep = often[column]
+    row, column = row[keep], number[column[keep]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    for low in range(0, int(often.sum()), 8192):  # by column ranges, so the matrix stays small
+        a, b = np.searchsorted(column, (low, low + 8192))
+        part = np.zeros((len(ids), 8192), np.float32)
+        part[row[a:b], column[a:b] - low] = 1
+        both += part @ part.T
+    union = size[:, None] + size[None, :] - both
+    linked = np.triu((den * both >= num * union) & (both > 0) & (component[:, None] != component[None, :]), 1)
+    parent: dict[int, int] = {}
+
+    def root(x: int) -> int:
+        while parent.get(x, x) != x:
+            parent[x] = parent.get(parent[x], parent[x])
+            x = parent[x]
+        return x
+
+    out = []
+    for i, j in zip(*np.nonzero(linked), strict=True):
+        a, b = root(int(component[i])), root(int(component[j]))
+        if a != b:
+            parent[max(a, b)] = min(a, b)
+            out.append((int(ids[i]), int(ids[j])))
+    return pa.table({"src": pa.array([x[0] for x in out], pa.int64()), "dst": pa.array([x[1] for x in out], pa.int64())})
+
+
+def _with_component(ids: DataFrame, components: DataFrame, name: str) -> DataFrame:
+    return ids.join(components.select(F.col("node").alias("id"), F.col("component").alias(name)), "id", "left").withColumn(name, F.coalesce(name, "id"))
+
+
+def _close(a: str, b: str, num: int, den: int) -> Column:
+    """Can these two be similar: by their sketches, and by their sizes."""
+    least, most = F.least(f"{a}.n_shingles", f"{b}.n_shingles"), F.greatest(f"{a}.n_shingles", f"{b}.n_shingles")
+    return (_estimate(a, b) >= LEAST_ESTIMATE) & (den * least >= num * most)
+
+
+def _clusters(sketches: DataFrame, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """The star pairs that sketches let pass, and (node, component): the clusters that hold every proposed pair that they let pass."""
+    members = sketches.select("id", F.explode("bands").alias("key"))
+    buckets = materialize(members.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi"), F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
+    shared = materialize(members.join(buckets, "key"), "bucket-members")
+    light = sketches.drop("bands")
+    stars = shared.select("id", F.explode(F.array("lo", "hi")).alias("dst")).where("id <> dst").select(F.greatest("id", "dst").alias("src"), F.least("id", "dst").alias("dst")).distinct()
+    stars = materialize(stars.join(light.alias("a"), F.col("src") == F.col("a.id")).join(light.alias("b"), F.col("dst") == F.col("b.id")).where(_close("a", "b", num, den)).select("src", "dst"), "star-pairs")
+    found = materialize(connected_components(stars), "star-clusters")
+
+    # buckets that hold several clusters: do sketches of different clusters agree?
+    placed = materialize(_with_component(shared.select("id", "key", "n"), found, "cluster"), "bucket-clusters")
+    mixed = materialize(placed.groupBy("key").agg(F.min("cluster").alias("a"), F.max("cluster").alias("b")).where("a <> b").select("key"), "open-buckets")
+    tiles = F.ceil(F.col("n") / TILE).cast("int")
+    rest = placed.join(mixed, "key").join(light, "id").withColumn("tile", F.pmod(F.xxhash64("id"), tiles).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1)))
+    rest = materialize(rest.withColumn("t1", F.least("tile", "other")).withColumn("t2", F.greatest("tile", "other")).drop("other", "n"), "open-members")
+    meet = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in ("key", "t1", "t2")]
+    across = rest.alias("a").join(rest.alias("b"), [*meet, (F.col("a.cluster") < F.col("b.cluster")) & _close("a", "b", num, den)])
+    across = materialize(across.select(F.col("a.cluster").alias("src"), F.col("b.cluster").alias("dst")).distinct(), "cross-clusters")
+    discard(shared, placed, rest)
+    if across.isEmpty():
+        return stars, found
+    joined = found.select(F.col("node").alias("src"), F.col("component").alias("dst")).union(across)
+    return stars, materialize(connected_components(joined), "clusters")
+
+
+def _star_links(members: DataFrame, wide: DataFrame, stars: DataFrame, texts: DataFrame, width: int, num: int, den: int) -> tuple[DataFrame, DataFrame]:
+    """The confirmed star pairs of the clusters of several tiles, and `members` with the components that these make."""
+    ids = materialize(members.join(wide, "cluster", "left_semi").select("id"), "wide-members")
+    links = materialize(_confirmed(stars.join(ids.select(F.col("id").alias("src")), "src", "left_semi"), texts, width, num, den), "star-links")
+    release_shuffles(members.sparkSession)
+    return links, _with_component(members, materialize(connected_components(links), "star-components"), "component")
+
+
+def _tiles(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(id, cluster, component, tile) and the tile pairs (cluster, t1, t2) to be held against each other.
+
+    A component with enough shingles has tiles of its own, salted by id; the small ones of a cluster share tiles.
+    """
+    weight = members.groupBy("cluster", "component").agg(F.sum("n_shingles").alias("w"))
+    alone = F.col("w") >= TILE_SHINGLES
+    shared = F.sum(F.when(~alone, F.col("w")).otherwise(0)).over(Window.partitionBy("cluster"))
+    plan = materialize(weight.select("cluster", "component", F.when(alone, F.col("component")).alias("own"), F.when(alone, F.col("w")).otherwise(shared).alias("w")), "tile-plan")
+    salt = F.when(F.col("own").isNotNull(), F.xxhash64("id")).otherwise(F.xxhash64("component"))
+    rows = members.join(plan, ["cluster", "component"]).select("id", "cluster", "component", "own", F.concat_ws("/", F.coalesce(F.col("own").cast("string"), F.lit("")), F.pmod(salt, F.ceil(F.col("w") / TILE_SHINGLES)).cast("string")).alias("tile"))
+    rows = materialize(rows, "tiled")
+    tiles = materialize(rows.groupBy("cluster", "tile", "own").agg(F.count(F.lit(1)).alias("n")), "tiles")
+    a, b = tiles.alias("a"), tiles.alias("b")
+    pure = F.coalesce(F.col("a.own") == F.col("b.own"), F.lit(False))
+    apart = (F.col("a.tile") < F.col("b.tile")) | ((F.col("a.tile") == F.col("b.tile")) & (F.col("a.n") > 1))
+    pairs = a.join(b, (F.col("a.cluster") == F.col("b.cluster")) & ~pure & apart)
+    return rows, pairs.select(F.col("a.cluster").alias("cluster"), F.col("a.tile").alias("t1"), F.col("b.tile").alias("t2"))
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, num: int = 75, den: int = 100) -> DataFrame:
     """doc_id, n_shingles, component_id and kept for every row of `docs` (doc_id, text, ...).
 
     Documents are linked when their sets of `width`-word shingles have a Jaccard similarity of num / den or more; a
     component is named by its least doc_id, which is the one kept. Null, empty and blank texts have no shingles and are
     linked with nothing. Rows that repeat a doc_id count as one document if their texts are equal and must not differ.
-    Other columns are ignored; an empty table gives an empty result.
+    Other columns are ignored; an empty table gives an empty result. The bands and the sketch bound suit num / den of 0.7
+    and more: a pair at 0.75 is lost with a chance of about 1e-5.
     """
-    small_batches(docs.sparkSession)
+    spark = docs.sparkSession
+    small_batches(spark)
     base = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("binary"))
     schema = "doc_id long, n_shingles long, fp1 long, fp2 long, bands array<long>, s0 long, s1 long, s2 long, s3 long"
     sigs = materialize(base.mapInArrow(partial(_signatures, width=width), schema), "signatures")
@@ -157,33 +263,28 @@ def near_duplicates(docs: DataFrame, width: int = 5, num: int = 75, den: int = 1
     same = ["fp1", "fp2", "n_shingles"]
     firsts = materialize(sigs.where("n_shingles > 0").groupBy(*same).agg(F.min("doc_id").alias("rep")), "set-reps")
     reps = sigs.join(firsts.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    sketches = materialize(reps.select(F.col("doc_id").alias("id"), "bands", "s0", "s1", "s2", "s3"), "sketches")
+    sketches = materialize(reps.select(F.col("doc_id").alias("id"), "n_shingles", "bands", "s0", "s1", "s2", "s3"), "sketches")
+    stars, clusters = _clusters(sketches, num, den)
+
     texts = base.select(F.col("doc_id").alias("id"), "text")
+    members = sketches.select("id", "n_shingles").join(clusters.select(F.col("node").alias("id"), F.col("component").alias("cluster")), "id")
+    members = materialize(members, "cluster-members")
+    wide = materialize(members.groupBy("cluster").agg(F.sum("n_shingles").alias("w")).where(F.col("w") > TILE_SHINGLES).select("cluster"), "wide-clusters")
+    if wide.isEmpty():
+        links, placed = stars.limit(0), members.withColumn("component", F.col("id"))
+    else:
+        links, placed = _star_links(members, wide, stars, texts, width, num, den)
+    rows, pairs = _tiles(materialize(placed, "members"))
+    pairs = materialize(pairs, "tile-pairs")
+    sides = pairs.select("cluster", "t1", "t2", F.explode(F.array_distinct(F.array("t1", "t2"))).alias("tile"))
+    dealt = rows.join(sides, ["cluster", "tile"]).hint("merge").join(texts, "id").select("cluster", "t1", "t2", "id", "component", "text")
 
-    members = sketches.select("id", F.explode("bands").alias("key"))
-    buckets = materialize(members.groupBy("key").agg(F.min("id").alias("centre"), F.max("id").alias("last"), F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
-    shared = materialize(members.join(buckets.select("key", "centre", "n"), "key"), "bucket-members")
-    light = sketches.drop("bands")
-    starred = shared.where("id <> centre").select(F.col("id").alias("src"), F.col("centre").alias("dst")).distinct()
-    sifted = starred.join(light.alias("a"), F.col("src") == F.col("a.id")).join(light.alias("b"), F.col("dst") == F.col("b.id")).where(_estimate("a", "b") >= LEAST_ESTIMATE)
-    links = materialize(_confirmed(materialize(sifted.select("src", "dst"), "star-pairs"), texts, width, num, den), "star-links")
-    found = materialize(connected_components(links), "star-components")
-
-    # buckets that hold several components: members of different components still have to be compared
-    placed = shared.select("id", "key", "n").join(found.withColumnRenamed("node", "id"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-    placed = materialize(placed, "bucket-components")
-    open_keys = materialize(placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key"), "open-buckets")
-    tiles = F.ceil(F.col("n") / TILE).cast("int")
-    rest = placed.join(open_keys, "key").join(light, "id").withColumn("tile", F.pmod(F.xxhash64("id"), tiles).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), tiles - 1)))
-    rest = rest.withColumn("t1", F.least("tile", "other")).withColumn("t2", F.greatest("tile", "other"))
-    rest = materialize(rest.drop("other", "n"), "open-members")
-    a, b = rest.alias("a"), rest.alias("b")
-    meet = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in ("key", "t1", "t2")]
-    apart = (F.col("a.component") < F.col("b.component")) & (_estimate("a", "b") >= LEAST_ESTIMATE)
-    crossed = a.join(b, [*meet, apart]).select(F.greatest("a.id", "b.id").alias("src"), F.least("a.id", "b.id").alias("dst")).distinct()
-    crossed = materialize(crossed, "cross-pairs")
-    more = _confirmed(crossed, texts, width, num, den)
-    discard(placed, rest, shared)
+    def of_tiles(table: pa.Table) -> pa.Table:
+        return _tile_links(table, width, num, den)
+
+    more = dealt.groupBy("cluster", "t1", "t2").applyInArrow(of_tiles, "src long, dst long")
+    more = materialize(more, "tile-links")
+    release_shuffles(spark)
 
     final = materialize(connected_components(links.union(more)), "components")
     of_rep = firsts.join(final.withColumnRenamed("node", "rep"), "rep", "left").select(*same, F.coalesce("component", "rep").alias("component"))
