@@ -212,7 +212,7 @@ def pack_histogram(counts: dict[int, int], capacity: int) -> list[tuple[int, lis
             continue
         small = lengths[0]
         two = 2 * small if left[small] > (2 if small == big else 1) else small + (lengths[1] if len(lengths) > 1 else capacity)
-        if two > room:
+        if two > room and (not rest or min(rest) > room):  # a longer piece put aside could be the better partner
             partner = lengths[bisect_left(lengths, room + 1) - 1]
             if partner != big or left[big] > 1:
                 # the two smallest change as pieces go, so only one step at a time near their last copies
