@@ -31,8 +31,12 @@ GRAM, HOT = 32, 500
 CHUNK = 1 << 20
 
 
-def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
-    """Positions of the non-separator bytes of `text` (uint8, separators 0) in order of their suffixes, exact to `depth` bytes."""
+def suffix_array(text: np.ndarray, depth: int, wanted: np.ndarray | None = None) -> np.ndarray:
+    """Positions of the non-separator bytes of `text` (uint8, separators 0) in order of their suffixes, exact to `depth` bytes.
+
+    With a mask of `wanted` positions, only these need be there: a suffix is sorted directly only if it is wanted or one
+    that is follows from it.
+    """
     n = len(text)
     following = np.append(text[1:], np.uint8(0))
     differs = np.flatnonzero(text != following)
@@ -43,6 +47,9 @@ def suffix_array(text: np.ndarray, depth: int) -> np.ndarray:
     small[inside] = text[differs[at[inside]]] < following[differs[at[inside]]]
     small[text == 0] = False
     direct = np.flatnonzero(small)
+    if wanted is not None and len(direct):
+        count = np.concatenate(([0], np.cumsum(wanted)))
+        direct = direct[count[direct + 1] > count[np.concatenate(([0], direct[:-1] + 1))]]
     padded = np.concatenate((text, np.zeros(depth + 8, np.uint8)))
     width = -(-depth // 8) * 8
     keys = np.ascontiguousarray(sliding_window_view(padded, width)[direct]).view(f"S{width}").ravel()
@@ -89,10 +96,10 @@ def later_copies(text: np.ndarray, length: int) -> np.ndarray:
     out = np.zeros(n, bool)
     if n < length:
         return out
-    order = suffix_array(text, length)
     gaps = np.concatenate(([0], np.cumsum(text == 0)))
     whole = np.zeros(n, bool)
     whole[: n - length + 1] = gaps[length:] == gaps[: n - length + 1]
+    order = suffix_array(text, length, whole)
     order = order[whole[order]]
     if len(order) < 2:
         return out
@@ -185,8 +192,6 @@ def _runs(mask: np.ndarray, *same: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def _candidates(batches: Iterator, length: int) -> Iterator:
     """Settle equal strings within a batch; hand on what is left: kind 0 settled (doc, from, to), 1 a stretch with its bytes, 2 one string's hash."""
-    import pyarrow as pa
-
     for batch in batches:
         batch = batch.sort_by("doc_id")
         docs = batch.column(0).to_numpy()
@@ -228,59 +233,92 @@ def _candidates(batches: Iterator, length: int) -> Iterator:
             # a string's own place is in the stretch that starts with it or before; bytes past the last start of a stretch repeat nothing
             settled[known[keep]] |= again[spots[keep]]
             settled &= is_candidate
-            out: list[tuple] = []
             base = part[:-1]
             la, lb = _runs(settled, row)
-            for x, y in zip(la.tolist(), lb.tolist(), strict=True):
-                out.append((0, 0, 0, int(docs[a + row[x]]), int(starts[x] - base[row[x]]), int(starts[y - 1] - base[row[x]]), b""))
+            if len(la):
+                yield _stretches(0, np.zeros(len(la), np.int64), docs[a + row[la]], starts[la] - base[row[la]], starts[lb - 1] - base[row[la]])
             left = is_candidate & ~settled
             ra, rb = _runs(left & ~hot, row, value)
-            view = own.tobytes()
-            signed = value.view(np.int64)
-            for x, y in zip(ra.tolist(), rb.tolist(), strict=True):
-                out.append((1, int(signed[x]), 0, int(docs[a + row[x]]), int(starts[x] - base[row[x]]), int(starts[y - 1] - base[row[x]]), view[starts[x] : starts[y - 1] + length]))
-            for x in np.flatnonzero(left & hot).tolist():
-                h = hashlib.blake2b(view[starts[x] : starts[x] + length], digest_size=16).digest()
-                p = int(starts[x] - base[row[x]])
-                out.append((2, int.from_bytes(h[:8], "little", signed=True), int.from_bytes(h[8:], "little", signed=True), int(docs[a + row[x]]), p, p, b""))
-            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True), _TYPES(), strict=True)], _NAMES)
+            if len(ra):
+                size = starts[rb - 1] + length - starts[ra]
+                yield _stretches(1, value[ra].view(np.int64), docs[a + row[ra]], starts[ra] - base[row[ra]], starts[rb - 1] - base[row[ra]], (_gather(own, starts[ra], size), size))
+            single = np.flatnonzero(left & hot)
+            if len(single):
+                view = own.tobytes()
+                hashes = np.frombuffer(b"".join(hashlib.blake2b(view[x : x + length], digest_size=16).digest() for x in starts[single].tolist()), np.int64).reshape(-1, 2)
+                place = starts[single] - base[row[single]]
+                yield _stretches(2, hashes[:, 0].copy(), docs[a + row[single]], place, place, key2=hashes[:, 1].copy())
 
 
-_NAMES = ["kind", "key1", "key2", "doc_id", "a", "b", "bytes"]
+def _gather(data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The bytes of several spans, one after the other."""
+    before = np.cumsum(sizes) - sizes
+    return data[np.repeat(starts - before, sizes) + np.arange(int(sizes.sum()))]
 
 
-def _TYPES():
+def _stretches(kind: int, key1, docs, a, b, spans: tuple | None = None, key2=None):
     import pyarrow as pa
 
-    return [pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+    n = len(key1)
+    if spans is None:
+        data, offsets = np.zeros(0, np.uint8), np.zeros(n + 1, np.int32)
+    else:
+        data, offsets = spans[0], np.concatenate(([0], np.cumsum(spans[1]))).astype(np.int32)
+    binary = pa.BinaryArray.from_buffers(pa.binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(data)])
+    columns = [pa.array(np.full(n, kind, np.int32)), pa.array(key1), pa.array(np.zeros(n, np.int64) if key2 is None else key2), pa.array(docs), pa.array(a), pa.array(b), binary]
+    return pa.RecordBatch.from_arrays(columns, ["kind", "key1", "key2", "doc_id", "a", "b", "bytes"])
 
 
 def _sort_stretches(batches: Iterator, length: int) -> Iterator:
-    """Sort the stretches of each anchor value together and return the strings that start later than an equal one."""
+    """Sort the stretches of each anchor value together and return the strings that start later than an equal one.
+
+    Rows come in order of their value. A stretch alone with its value has nothing to be equal to: its own repeats were
+    settled with its batch.
+    """
     import pyarrow as pa
 
-    def settle(rows: list[tuple]) -> pa.RecordBatch:
-        rows.sort(key=lambda r: (r[1], r[2]))
-        joined = np.frombuffer(b"\xff".join(r[3] for r in rows) + b"\xff", np.uint8) + np.uint8(1)  # no UTF-8 text holds 0xff
-        again = later_copies(joined, length)
-        size = np.array([len(r[3]) + 1 for r in rows])
-        begin = np.cumsum(size) - size
-        lo, hi = _runs(again, np.repeat(np.arange(len(rows)), size))
+    def settle(docs: np.ndarray, first: np.ndarray, data: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> pa.RecordBatch:
+        order = np.lexsort((first, docs))
+        docs, first, starts, sizes = docs[order], first[order], starts[order], sizes[order]
+        begin = np.cumsum(sizes + 1) - (sizes + 1)
+        text = np.zeros(int((sizes + 1).sum()), np.uint8)
+        text[np.repeat(begin - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))] = _gather(data, starts, sizes) + np.uint8(1)
+        lo, hi = _runs(later_copies(text, length), np.repeat(np.arange(len(docs)), sizes + 1))
         at = np.searchsorted(begin, lo, "right") - 1
-        docs, first = np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64)
         return pa.RecordBatch.from_arrays([pa.array(docs[at]), pa.array(first[at] + lo - begin[at]), pa.array(first[at] + hi - 1 - begin[at])], ["doc_id", "a", "b"])
 
-    held: list[tuple] = []
+    def groups(table: pa.Table, last: bool) -> Iterator:
+        """Settle whole groups, about CHUNK bytes at once; return how many rows are done."""
+        value, docs, first = (table.column(k).to_numpy() for k in range(3))
+        data, offsets = binary_batch(table.column(3).combine_chunks())
+        new = np.concatenate(([True], value[1:] != value[:-1]))
+        begin = np.flatnonzero(new)
+        size = np.diff(np.append(begin, len(value)))
+        done = len(value) if last else int(begin[-1])
+        alone = size[np.cumsum(new) - 1] == 1
+        edges = begin[begin < done]
+        at = 0
+        while at < len(edges):
+            to = max(at + 1, int(np.searchsorted(offsets[edges], offsets[edges[at]] + CHUNK)))
+            rows = np.arange(edges[at], edges[to] if to < len(edges) else done)
+            rows = rows[~alone[rows]]
+            if len(rows):
+                yield settle(docs[rows], first[rows], data, offsets[rows], np.diff(offsets)[rows])
+            at = to
+        return done
+
+    held: list = []
     size = 0
     for batch in batches:
-        for row in zip(*(batch.column(k).to_pylist() for k in range(4)), strict=True):
-            if size > CHUNK and held[-1][0] != row[0]:
-                yield settle(held)
-                held, size = [], 0
-            held.append(row)
-            size += len(row[3])
-    if held:
-        yield settle(held)
+        held.append(batch)
+        size += batch.nbytes
+        if size > 4 * CHUNK:
+            table = pa.Table.from_batches(held)
+            done = yield from groups(table, False)
+            rest = table.slice(done).combine_chunks()
+            held, size = rest.to_batches(), 0
+    if held and sum(b.num_rows for b in held):
+        yield from groups(pa.Table.from_batches(held), True)
 
 
 def _finish(batches: Iterator, length: int) -> Iterator:
