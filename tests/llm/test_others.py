@@ -20,7 +20,7 @@ def test_decontamination_tolerates_substitutions(spark):
     ]
     out = decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string, item_id string"), spark.createDataFrame(items, "item_id long, text string, doc_id string")).collect()
     assert sorted((r.doc_id, r.item_id) for r in out) == [(1, 0), (3, 1), (3, 1), (6, 4), (7, 2), (7, 3)]
-    assert {r.matched_words for r in out if r.doc_id == 1} == {34}
+    assert {r.matched_words for r in out if r.doc_id == 1} == {33}  # the last word alone does not outweigh the change before it
     assert decontam.contaminated(spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string, doc_id string")).count() == 0
     assert decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string, x string"), spark.createDataFrame([], "item_id long, text string")).count() == 0
 
