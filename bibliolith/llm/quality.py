@@ -117,9 +117,26 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
     return RuleEnsemble(float(lasso.intercept), weights)
 
 
-def score_documents(docs: DataFrame, model: RuleEnsemble, threshold: float = 0.3) -> DataFrame:
-    """The rows of `docs` with score (0 to 1) and predicted (1 where score >= threshold). Null and empty texts are scored by their statistics, too."""
+def _scored(docs: DataFrame, model: RuleEnsemble, threshold: float, extra: list[Column]) -> tuple[DataFrame, list[str]]:
     stats = statistics(F.col("text"))
     kept = [c for c in docs.columns if c not in (*stats, "score", "predicted")]
-    scored = docs.select(*kept, *(c.cast("double").alias(n) for n, c in stats.items())).withColumn("score", model.score())
-    return scored.select(*kept, "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    rows = docs.select(*kept, *extra, *(c.cast("double").alias(n) for n, c in stats.items())).withColumn("score", model.score())
+    return rows.withColumn("predicted", (F.col("score") >= threshold).cast("int")), kept
+
+
+def score_documents(docs: DataFrame, model: RuleEnsemble, threshold: float = 0.3) -> DataFrame:
+    """The rows of `docs` with score (0 to 1) and predicted (1 where score >= threshold). Null and empty texts are scored by their statistics, too."""
+    rows, kept = _scored(docs, model, threshold, [])
+    return rows.select(*kept, "score", "predicted")
+
+
+def accepted(docs: DataFrame, model: RuleEnsemble, threshold: float = 0.3) -> DataFrame:
+    """The rows of `docs` that are predicted 1.
+
+    A filter on the prediction would be pushed below the statistics and compute each again for every rule that names it; the
+    row number, which no filter passes, keeps them computed once.
+    """
+    names = {c: f"_{i}" for i, c in enumerate(docs.columns) if c not in ("text", "doc_id")}
+    renamed = docs.select(*(F.col(c).alias(names.get(c, c)) for c in docs.columns))
+    rows, _ = _scored(renamed, model, threshold, [F.monotonically_increasing_id().alias("_row")])
+    return rows.where("predicted = 1 and _row >= 0").select(*(F.col(names.get(c, c)).alias(c) for c in docs.columns))

@@ -13,7 +13,7 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Documents that the quality classifier accepts."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "quality")
     model = quality.fit(docs.select("doc_id", "text"), labels)
-    return quality.score_documents(docs, model).where("predicted = 1").select(*docs.columns)
+    return quality.accepted(docs, model)
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
