@@ -36,7 +36,7 @@ def directory_listing(spark: SparkSession, path: str, pattern: str = "*") -> Dat
 
 def markdown_blocks(files: DataFrame) -> DataFrame:
     """(path, position, section, kind, text, in_references) of Markdown texts (path, text): blocks between blank lines, headings carried forward."""
-    blocks = files.select("path", F.posexplode(F.split(F.regexp_replace("text", "\r\n?", "\n"), r"\n[ \t]*\n+")).alias("position", "raw")).select("path", "position", F.trim(F.col("raw")).alias("text")).where("text <> ''")
+    blocks = files.select("path", F.posexplode(F.split(F.regexp_replace("text", "\r\n?", "\n"), r"\n[ \t]*\n+")).alias("position", "raw")).select("path", "position", F.regexp_replace("raw", r"^\s+|\s+$", "").alias("text")).where("text <> ''")
     heading = F.when(F.col("text").rlike(r"^#{1,6}\s"), F.trim(F.regexp_replace(F.substring_index("text", "\n", 1), r"^#{1,6}\s+|\s*#*$", "")))
     w = Window.partitionBy("path").orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
     section = F.coalesce(F.last(heading, ignorenulls=True).over(w), F.lit(""))
@@ -52,7 +52,7 @@ def cards(files: DataFrame) -> DataFrame:
     keys = F.transform(lines, lambda line: F.lower(F.trim(F.substring_index(line, ":", 1))))
     values = F.transform(lines, lambda line: F.regexp_replace(F.trim(F.regexp_replace(line, "^[^:]*:", "")), r"^[\"'](.*)[\"']$", "$1"))
     pairs = F.map_from_entries(F.array_distinct(F.arrays_zip(keys.alias("k"), values.alias("v"))))
-    return files.select("path", pairs.alias("meta"), F.trim(F.regexp_replace("text", r"(?s)^\s*---\s*\n.*?\n---[ \t]*\n?", "")).alias("body"))
+    return files.select("path", pairs.alias("meta"), F.regexp_replace(F.regexp_replace("text", r"(?s)^\s*---\s*\n.*?\n---[ \t]*\n?", ""), r"^\s+|\s+$", "").alias("body"))
 
 
 _CELL = re.compile(r"([A-Z]+)")

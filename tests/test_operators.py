@@ -135,13 +135,13 @@ def test_rules(spark):
 
 def test_bibtex(spark, tmp_path):
     (tmp_path / "x.bib").write_text(
-        "@comment{no}\n@article{k1, title={A {Nested} Title}, author={Doe, J. and Roe, R.}, doi = {10.1/A}, year=2020, keywords={x; y},\n cited-references={Foo B, 2001, J X, DOI 10.2/b. Bar C, 2002, J Y.}}\n"
+        "@comment{no}\n@article{k1, title={A {Nested} Title}, author={Doe, J. and Roe, R.}, doi = {10.1000/A}, year=2020, keywords={x; y},\n cited-references={Foo B, 2001, J X, DOI 10.2000/b. Bar C, 2002, J Y.}}\n"
         '@misc(k2, note="no title")\n@book{k3, title = "Quoted {\\"u} title"}\n@article{broken, title={open'
     )
     rows = bibtex.papers(bibtex.read_bibtex(spark, str(tmp_path))).orderBy("position").collect()
     assert [r.title for r in rows][:2] == ["A Nested Title", 'Quoted \\"u title'] and rows[0].authors == ["Doe, J.", "Roe, R."] and rows[0].keywords == ["x", "y"] and rows[0].year == "2020"
     e = bibtex.reference_edges(bibtex.papers(bibtex.read_bibtex(spark, str(tmp_path)))).collect()
-    assert [(x.citing, x.cited) for x in e] == [("10.1/A", "10.2/b")]
+    assert [(x.citing, x.cited) for x in e] == [("10.1000/A", "10.2000/b")]
 
 
 def test_files(spark, tmp_path):
