@@ -2,9 +2,9 @@
 
 A spaced seed is a mask over a window of words; words at its open positions are ignored. Every window of every test item
 is hashed under each mask, and so is every window of every document; equal hashes are hits. Around a hit, item and
-document are aligned word by word on the hit's diagonal, and the best-scoring stretch (a match counts 1, a substitution
-costs 1.5) decides. Any two substitutions that fall on open positions of one of the masks leave a hit, so copies with
-scattered changed words are found.
+document are aligned word by word on the hit's diagonal, and any stretch with enough matching words decides. Together the
+masks are complete: every stretch with 12 matching words or more of which three quarters match holds a hit of one of them
+(a stretch of 32 words or more has a half that meets the rule, and all patterns of up to 31 words were counted out).
 """
 
 from __future__ import annotations
@@ -18,11 +18,11 @@ from pyspark.sql import functions as F
 
 from .common import binary_batch, mix64, slices, small_batches, span_hashes
 
-#: The masks: 1 counts, 0 is ignored. Six words must agree in windows of 6 to 11.
-MASKS = ("111111", "1101011011", "11011000111", "1110010111")
+#: The masks: 1 counts, 0 is ignored. Six words must agree in windows of 6 to 10.
+MASKS = ("111111", "111001101", "1001010111", "101100111", "1110100011", "1100101101", "11110101", "1101111", "11111001")
 #: Test items are compared in blocks of this many bytes of text at most, so what is broadcast stays bounded.
 BLOCK_BYTES = 8 << 20
-#: Matching words that the best stretch must have (fewer for shorter items: all of them), and the part of it that must match.
+#: Matching words that a stretch must have (fewer for shorter items: all of them), and the part of it that must match.
 LEAST_WORDS, LEAST_SHARE = 12, 0.75
 _COST = 1.5
 
@@ -92,16 +92,34 @@ class ItemIndex:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
         return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
 
-    def overlap(self, item: int, shift: int, words: np.ndarray, row: tuple[int, int]) -> tuple[int, int, int]:
-        """Matches, length and first document word of the best stretch of an item on a diagonal (document word - item word)."""
+    def overlap(self, item: int, shift: int, words: np.ndarray, row: tuple[int, int]) -> tuple[int, int, int] | None:
+        """Matches, length and first document word of a stretch that meets the rule on a diagonal (document word - item word), if there is one.
+
+        It is the best-scoring stretch (a match counts 1, a substitution costs 1.5) if that meets the rule, else the one with most matches.
+        """
         a, b = int(self.at[item]), int(self.at[item + 1])
+        need = min(LEAST_WORDS, b - a)
         a, b = max(a, row[0] - shift), min(b, row[1] - shift)
         same = self.words[a:b] == words[a + shift : b + shift]
+        matches = np.concatenate(([0], np.cumsum(same)))
+        if matches[-1] < need:
+            return None
         total = np.concatenate(([0.0], np.cumsum(np.where(same, 1.0, -_COST))))
         least = np.minimum.accumulate(total)
         end = int(np.argmax(total - least))
         start = int(np.argmin(total[: end + 1]))
-        return int(same[start:end].sum()), end - start, a + start + shift
+        if matches[end] - matches[start] < need or matches[end] - matches[start] < LEAST_SHARE * (end - start):
+            # from each start, the furthest end with the share: surplus there is not less than at the start
+            surplus = np.concatenate(([0.0], np.cumsum(same - LEAST_SHARE)))
+            later = np.maximum.accumulate(surplus[::-1])
+            ends = len(same) - np.searchsorted(later, surplus, "left")
+            start = int(np.argmax(matches[ends] - matches))
+            end = int(ends[start])
+            if matches[end] - matches[start] < need:
+                return None
+            kept = start + np.flatnonzero(same[start:end])
+            start, end = int(kept[0]), int(kept[-1]) + 1
+        return int(matches[end] - matches[start]), end - start, a + start + shift
 
 
 def _scan(batches: Iterator, index: ItemIndex) -> Iterator:
@@ -119,9 +137,8 @@ def _scan(batches: Iterator, index: ItemIndex) -> Iterator:
             diagonals = np.unique(np.stack([row, item, theirs - mine], 1), axis=0)
             best: dict[tuple[int, int], tuple[int, int, int]] = {}
             for r, i, shift in diagonals.tolist():
-                matched, length, start = index.overlap(i, shift, words, (int(at[r]), int(at[r + 1])))
-                size = int(index.at[i + 1] - index.at[i])
-                if matched >= min(LEAST_WORDS, size) and matched >= LEAST_SHARE * length:
+                if found := index.overlap(i, shift, words, (int(at[r]), int(at[r + 1]))):
+                    matched, length, start = found
                     best[r, i] = max(best.get((r, i), (0, 0, 0)), (matched, length, start - int(at[r])), key=lambda x: (x[0], -x[1], -x[2]))
             keys = sorted(best)
             yield pa.RecordBatch.from_arrays(
