@@ -4,12 +4,15 @@ Pages of one host come from few templates. A token is the path of a container el
 host's pages is summed up in a fingerprint (counts times page hashes, a sum that can be pre-aggregated, so a host's
 vectors need no place that grows with its pages). Tokens of one fingerprint form an equivalence class; classes with
 several tokens on enough pages make up the template, nested by their paths. The slots of the template whose text never
-changes, or is links only, are furniture; what remains are data slots. Elements that HTML itself or their names mark as
-furniture are left out on every host; where a page marks its article, only that is taken, and the deduced template decides on the other pages.
+changes, or is links only, are furniture; what remains are data slots. Texts at a path are tokens, too: one whose occurrence
+vector is that of a class belongs to the template, though other texts at its path change. Elements that HTML itself or their
+names mark as furniture are left out on every host. The template decides on every page, inside articles and outside; a
+marked article is only preferred where no data slot has text.
 """
 
 from __future__ import annotations
 
+import hashlib
 import html
 import re
 import zlib
@@ -43,6 +46,8 @@ NAMES = frozenset(
 )
 #: What a class needs: tokens, pages, and the part of the host's pages.
 LEAST_TOKENS, LEAST_PAGES, LEAST_SHARE = 2, 5, 0.3
+#: The part of the host's pages that a text of the template must be on, so that a few copies of a page make none.
+TEXT_SHARE = 0.5
 _CLOSES = {"p": {"p"}, "li": {"li"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}}
 
 
@@ -132,13 +137,16 @@ def blocks(page: str) -> Iterator[tuple[str, str, bool, bool, bool]]:
         yield found
 
 
+def _text_token(path: str, text: str) -> str:
+    """The token of a text at a path; a path holds no line break, so the two kinds of tokens differ."""
+    return "\n" + hashlib.blake2b(f"{path}\n{text}".encode("utf-8", "replace"), digest_size=10).hexdigest()
+
+
 def main_text(page: str, furniture: frozenset[str]) -> str:
-    """The blocks of the article; where none is marked, those of the page that stand in no slot of `furniture` (or all, if no other has text)."""
+    """The blocks that stand in no slot of `furniture` and are no text of it; if none has text those of the article, and if none is marked all."""
     kept = [(article, path, text) for path, text, article, out, _ in blocks(page) if not out]
-    if any(a for a, *_ in kept):
-        return "\n\n".join(t for a, _, t in kept if a)
-    data = [t for _, path, t in kept if path not in furniture]
-    return "\n\n".join(data or [t for *_, t in kept])
+    data = [t for _, path, t in kept if not furniture or (path not in furniture and _text_token(path, t) not in furniture)]
+    return "\n\n".join(data or [t for a, _, t in kept if a] or [t for *_, t in kept])
 
 
 def _page_hash(page_id: int, salt: int) -> int:
@@ -152,12 +160,18 @@ def _token_stats(batches: Iterator) -> Iterator:
         seen: dict[tuple[str, str], list] = {}
         for page_id, host, page in zip(pdf["page_id"], pdf["host"], pdf["html"], strict=True):
             own: dict[str, list] = {}
+            texts: dict[str, int] = {}
+            whole = 0
             for path, text, *_, link in blocks(page or ""):
+                whole = zlib.crc32(text.encode("utf-8", "replace"), whole)
+                token = _text_token(path, text)
+                texts[token] = texts.get(token, 0) + 1
                 row = own.setdefault(path, [0, 0, 0, 0])
                 row[0] += 1
                 row[1] += len(text)
                 row[2] += len(text) if link else 0
                 row[3] = zlib.crc32(text.encode("utf-8", "replace"), row[3])
+            own.update((token, [n, 0, 0, whole]) for token, n in texts.items())
             h1, h2 = _page_hash(page_id, 1), _page_hash(page_id, 2)
             for path, (n, chars, linked, crc) in own.items():
                 s = seen.get((host, path))
@@ -174,17 +188,21 @@ def _token_stats(batches: Iterator) -> Iterator:
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """(host, furniture): the paths of each host's template slots whose text never changes or is links only."""
+    """(host, furniture): the paths of each host's template slots whose text never changes or is links only, and the tokens of its constant texts.
+
+    A row of a path has its least and greatest text hash; a row of a text those of the pages it is on, which must differ.
+    """
     schema = "host string, path string, pages long, v1 long, v2 long, chars long, linked long, low long, high long"
     partial_rows = pages.select("page_id", "host", "html").mapInPandas(_token_stats, schema)
     tokens = partial_rows.groupBy("host", "path").agg(*(F.sum(c).alias(c) for c in ("pages", "v1", "v2", "chars", "linked")), F.min("low").alias("low"), F.max("high").alias("high"))
-    tokens = materialize(tokens, "page-tokens")
+    tokens = materialize(tokens.where(F.col("pages") >= LEAST_PAGES).withColumn("is_text", F.startswith("path", F.lit("\n"))), "page-tokens")
     hosts = pages.groupBy("host").agg(F.count(F.lit(1)).alias("host_pages"))
-    classes = tokens.groupBy("host", "v1", "v2").agg(F.count(F.lit(1)).alias("tokens"), F.max("pages").alias("on"))
-    valid = classes.join(hosts, "host").where((F.col("tokens") >= LEAST_TOKENS) & (F.col("on") >= LEAST_PAGES) & (F.col("on") >= LEAST_SHARE * F.col("host_pages"))).select("host", "v1", "v2")
-    slots = tokens.join(valid, ["host", "v1", "v2"], "left_semi")
+    classes = tokens.where("not is_text").groupBy("host", "v1", "v2").agg(F.count(F.lit(1)).alias("tokens"), F.max("pages").alias("on"))
+    valid = classes.join(hosts, "host").where((F.col("tokens") >= LEAST_TOKENS) & (F.col("on") >= LEAST_SHARE * F.col("host_pages"))).select("host", "v1", "v2", "host_pages")
+    slots = tokens.join(valid, ["host", "v1", "v2"])
     still = (F.col("low") == F.col("high")) | (F.col("linked") >= 0.9 * F.col("chars"))
-    return slots.where(still).groupBy("host").agg(F.array_sort(F.collect_list("path")).alias("furniture"))
+    constant = (F.col("low") < F.col("high")) & (F.col("pages") > TEXT_SHARE * F.col("host_pages"))
+    return slots.where(F.when(F.col("is_text"), constant).otherwise(still)).groupBy("host").agg(F.array_sort(F.collect_list("path")).alias("furniture"))
 
 
 def _extract(batches: Iterator) -> Iterator:
