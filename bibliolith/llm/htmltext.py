@@ -16,6 +16,7 @@ import hashlib
 import html
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,18 +28,17 @@ from .common import materialize, small_batches
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _SPACE = re.compile(r"\s+")
-_NAME = re.compile(r"[a-z]+")
 
 #: Elements of HTML by what they mean for text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style title textarea noscript template iframe svg math object select".split())
+RAW = frozenset("script style title textarea template iframe svg select".split())
 FURNITURE = frozenset("nav footer aside form head button dialog menu label fieldset audio video canvas".split())
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend "
     "li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split()
 )
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
-#: Words in class, id or role that name furniture.
+#: Classes, ids and roles that name furniture, as whole names.
 NAMES = frozenset(
     "ad ads advert advertisement advertising adverts banner breadcrumb breadcrumbs comment comments consent contentinfo cookie cookies disclaimer disqus footer gdpr "
     "header masthead menu modal navbar navigation nav newsletter notice notices notification pagination popup promo promoted promotion related respond share sharing "
@@ -52,24 +52,44 @@ _CLOSES = {"p": {"p"}, "li": {"li"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr
 
 
 class _Element:
-    __slots__ = ("article", "link", "out", "path", "tag")
+    __slots__ = ("articles", "link", "named", "out", "path", "tag")
 
-    def __init__(self, tag: str, path: str, out: bool, article: bool, link: bool):
-        self.tag, self.path, self.out, self.article, self.link = tag, path, out, article, link
+    def __init__(self, tag: str, path: str, out: bool, named: tuple[int, ...], articles: tuple[tuple[int, tuple[int, ...]], ...], link: bool):
+        self.tag, self.path, self.out, self.named, self.articles, self.link = tag, path, out, named, articles, link
 
 
-def _marked(tag: str, attributes: str, article: bool) -> tuple[bool, str]:
-    """Is the element furniture by its kind or name, and its label in paths."""
-    names = " ".join(a or b or c for _, a, b, c in _ATTRIBUTE.findall(attributes)).lower() if attributes else ""
-    words = set(_NAME.findall(names))
-    out = tag in FURNITURE or (tag == "header" and not article) or (tag not in HEADINGS and tag not in ("html", "body", "main", "p", "article") and bool(words & NAMES))
-    out = out or (tag in ("article", "p") and bool(words & NAMES - {"header"}))
-    return out, f"{tag}.{names.split()[0]}" if names.split() else tag
+def _marked(tag: str, attributes: str, article: bool) -> tuple[bool, bool, str]:
+    """Is the element furniture by its kind, is it by its name, and its label in paths."""
+    names = " ".join(a or b or c for _, a, b, c in _ATTRIBUTE.findall(attributes)).lower().split() if attributes else []
+    out = tag in FURNITURE or (tag == "header" and not article)
+    known = NAMES.intersection(names)
+    named = bool(known - {"header"} if tag in ("article", "p") else known) and tag not in HEADINGS and tag not in ("html", "body", "main")
+    return out, named, f"{tag}.{names[0]}" if names else tag
 
 
-def blocks(page: str) -> Iterator[tuple[str, str, bool, bool, bool]]:
-    """(path, text, inside an article, inside furniture, a link's text) of every block of text, in page order."""
-    stack = [_Element("", "", False, False, False)]
+def blocks(page: str) -> list[tuple[str, str, bool, bool, bool]]:
+    """(path, text, inside an article, inside furniture, a link's text) of every block of text, in page order.
+
+    A name makes no furniture of an element that holds the article (of several the one with most text) or more than half of the page's text.
+    """
+    found = list(_blocks(page))
+    held: Counter[int] = Counter()
+    articles: Counter[tuple[int, tuple[int, ...]]] = Counter()
+    total = 0
+    for _, text, within, out, named, _ in found:
+        if not out:
+            total += len(text)
+            held.update(dict.fromkeys(named, len(text)))
+            articles.update(dict.fromkeys(within, len(text)))
+    void = {k for k, n in held.items() if 2 * n > total}
+    if articles:
+        void.update(max(articles, key=lambda a: (articles[a], -a[0]))[1])
+    return [(path, text, bool(within), out or not void.issuperset(named), link) for path, text, within, out, named, link in found]
+
+
+def _blocks(page: str) -> Iterator[tuple[str, str, tuple, bool, tuple[int, ...], bool]]:
+    """Of every block: path, text, articles around it (place, names around that), is it inside furniture by kind, elements with furniture's names around it (places), is it a link's text."""
+    stack = [_Element("", "", False, (), (), False)]
     parts: list[str] = []
     links = 0
     at, size = 0, len(page)
@@ -81,7 +101,7 @@ def blocks(page: str) -> Iterator[tuple[str, str, bool, bool, bool]]:
         linked = bool(text) and links * 2 > len(text)
         parts.clear()
         links = 0
-        return (owner.path, text, owner.article, owner.out, linked) if text else None
+        return (owner.path, text, owner.articles, owner.out, owner.named, linked) if text else None
 
     while at < size:
         m = _TOKEN.search(page, at)
@@ -122,8 +142,10 @@ def blocks(page: str) -> Iterator[tuple[str, str, bool, bool, bool]]:
             if tag in VOID or m[3].rstrip().endswith("/") and tag not in BLOCK:
                 continue
             top = stack[-1]
-            out, label = _marked(tag, m[3], top.article)
-            stack.append(_Element(tag, f"{top.path}/{label}"[-240:] if tag in BLOCK else top.path, top.out or out, top.article or tag in ("article", "main"), top.link or tag == "a"))
+            out, named, label = _marked(tag, m[3], bool(top.articles))
+            articles = (*top.articles, (at, top.named)) if tag in ("article", "main") else top.articles
+            path = f"{top.path}/{label}"[-240:] if tag in BLOCK else top.path
+            stack.append(_Element(tag, path, top.out or out, (*top.named, at) if named else top.named, articles, top.link or tag == "a"))
         else:
             if tag in BLOCK and (found := flush()):
                 yield found

@@ -14,3 +14,16 @@ def test_template_decides_inside_articles_and_outside(spark):
     assert all(out[100 + i] == f"Head {i}\n\nThe story {i} itself.\n\nTeaser {i}" for i in range(10))
     assert out[200] == "Head 1\n\nThe story 1 itself.\n\nTeaser 1"
     assert all(out[300 + i] == "Same\n\nThe same text." for i in range(8))
+
+
+def test_names_are_whole_and_never_remove_the_article():
+    text = "The story of the day, long enough to be most of the page."
+    for name in ("layout has-sidebar", "page no-sidebar", "site header-fixed", "social-science", "widget", "sidebar"):
+        assert htmltext.main_text(f"<body><div class='{name}'><article class='post comments-open'><p>{text}</p></article></div></body>", frozenset()) == text
+        assert htmltext.main_text(f"<body><div class='{name}'><p>{text}</p></div><div class='ad'>Buy</div></body>", frozenset()) == text
+    page = f"<div class='related'><article>Other</article></div><div id='social'><main><p>{text}</p><div class='x share'>Share</div></main></div><p class='ad'>Buy</p>"
+    assert htmltext.main_text(page, frozenset()) == text
+    page = "<article><p>Let <math><mi>x</mi><mo>=</mo><mn>1</mn></math>.</p><object data='a'>An object</object><noscript><p>No script</p></noscript></article>"
+    assert htmltext.main_text(page, frozenset()) == "Let x=1.\n\nAn object\n\nNo script"
+    many = "<div class='widget'>" * 40 + text + "</div>" * 40
+    assert htmltext.main_text(many, frozenset()) == text
