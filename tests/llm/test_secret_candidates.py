@@ -1,0 +1,20 @@
+import hashlib
+
+from bibliolith.llm import secrets
+
+
+def test_long_assigned_and_short_values_are_candidates(spark):
+    jwt = "eyJ" + "aB3-_x" * 30 + "." + "Zq8" * 60 + "." + "k_7" * 40
+    long = "Qx7" * 70_000
+    issued = "ghp_" + "a1B2c3D4e5" * 3 + "f6G7h8"
+    rows = [
+        (1, f"Bearer {jwt} end", [jwt]), (2, long, [long]), (3, f"export API_TOKEN={issued}\n", [issued]), (4, "password: hunterhunter", ["hunterhunter"]), (5, 'api_key = "Xk93bQ"', ["Xk93bQ"]),
+        (6, "key=" + "Ab1/" * 11 + "==", ["Ab1/" * 11 + "=="]), (7, "the garden without any", []), (8, "a=" * 100_000, []), (9, "token=" * 30_000, []), (10, "DB2_MAIN_CONNECTION_7=" + "z9" * 9, ["DB2_MAIN_CONNECTION_7", "z9" * 9]),
+    ]
+    forest = secrets.fit(secrets.labelled_findings(spark, 3000))
+    text = {d: t for d, t, _ in rows}
+    found = secrets.scan(spark.createDataFrame([(d, t, None) for d, t, _ in rows], "doc_id long, text string, source string"), forest).collect()
+    got = {d: [text[d][r.start : r.end] for r in sorted(found, key=lambda r: r.start) if r.doc_id == d] for d in text}
+    assert got == {d: v for d, _, v in rows}
+    assert all(r.value_sha256 == hashlib.sha256(text[r.doc_id][r.start : r.end].encode()).hexdigest() for r in found)
+    assert all(r.secret for r in found if r.doc_id in (1, 3))
