@@ -1,8 +1,8 @@
 """Personal data by fixed patterns and by bootstrapped contexts, in SQL functions only.
 
 The fixed patterns (e-mail, IPv4, card, phone) give the base spans. They are also the seeds of the bootstrap: every
-identifier-like token is an *instance*, the words before it its lexical *pattern*, and the distinct pairs form a
-bipartite graph. Patterns are scored by the part of their instances that is known, instances by the patterns they occur
+base span and every identifier-like token or run of digit groups is an *instance*, the words before it its lexical *pattern*,
+and the distinct pairs form a bipartite graph. Patterns are scored by the part of their instances that is known, instances by the patterns they occur
 in, in turn. Patterns that end with high confidence mark their unseen instances.
 """
 
@@ -24,11 +24,14 @@ PATTERNS = {
     "card": r"(?<![0-9])(?<![0-9][\x20-])[0-9](?:[\x20-]?+[0-9]){11,18}+(?![\x20-]?[0-9])",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-#: Two words without digits, or one that starts a line, then a token with a digit or an at sign.
-MENTION = r"(?:(?<!\S)[^\s0-9@]{1,40}+[\x20\t]{1,3}+|(?m:^))[^\s0-9@]{1,40}+[\x20\t]{1,3}+(?=\S{0,63}[0-9@])\S{5,64}+(?!\S)"
-#: Its words, its token, and the token without the marks around it.
-CUE, TOKEN = r"^(.*\S)[\x20\t]+\S+$", r"(\S+)$"
-IDENT = r"^[^\p{L}\p{N}+]*+(\S*?)[^\p{L}\p{N}]*$"
+#: An instance: groups of digits with blanks between, or a token with a digit or an at sign.
+_INSTANCE = r"(?:[(\"'\[]?+\+?+[(]?+[0-9][0-9().-]*+(?:\x20[(]?+[0-9][0-9().-]*+)++[^\s0-9\p{L}]*+(?!\S)|(?=[^\s0-9@]*+[0-9@])\S{5,}+)"
+#: Two words without digits, or one that starts a line, then an instance.
+_WORDS = r"(?:(?<!\S)[^\s0-9@]{1,40}+[\x20\t]{1,3}+|(?m:^))[^\s0-9@]{1,40}+[\x20\t]{1,3}+"
+MENTION = rf"{_WORDS}{_INSTANCE}"
+#: Its words, its instance, and the instance without the marks around it.
+CUE, TOKEN = r"^([^0-9@]*[^\s0-9@])[\x20\t]+[^\s0-9@]*[0-9@]", r"^[^0-9@]*[\x20\t]([^\s0-9@]*[0-9@][\s\S]*)$"
+IDENT = r"^[^\p{L}\p{N}+]*+([\s\S]*?)[^\p{L}\p{N}]*$"
 
 
 def _runs(text: Column, pattern: str, when: Column) -> tuple[Column, Column]:
