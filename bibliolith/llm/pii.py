@@ -146,7 +146,7 @@ def find_pii(docs: DataFrame, rounds: int = 3, support: int = 5, confidence: flo
 def redact(docs: DataFrame, rounds: int = 3, support: int = 5, confidence: float = 0.8) -> DataFrame:
     """The rows of `docs` with every span of personal data in `text` replaced by its kind, as in <EMAIL>.
 
-    Of overlapping spans the one that starts first (then the longer) is replaced. n_chars, where there is one, is set
+    Overlapping spans are replaced as one, by the kind of the one that starts first (then the longer). n_chars, where there is one, is set
     anew for changed texts. Null texts stay null. doc_id must be unique; rows that repeat one are each redacted.
     """
     found = find_pii(docs.select("doc_id", "text"), rounds, support, confidence).where("spans <> ''").groupBy("doc_id").agg(F.min("spans").alias("_spans"))
@@ -155,7 +155,7 @@ def redact(docs: DataFrame, rounds: int = 3, support: int = 5, confidence: float
     step = lambda acc, s: F.when(
         s["start"] >= acc["at"],
         F.struct(F.concat(acc["text"], F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), F.lit("<"), s["kind"], F.lit(">")).alias("text"), (-s["end"]).alias("at")),
-    ).otherwise(acc)
+    ).otherwise(F.struct(acc["text"].alias("text"), F.greatest(acc["at"], -s["end"]).alias("at")))
     marked = docs.join(found, "doc_id", "left").withColumn("_done", F.when(F.col("_spans").isNotNull(), F.aggregate(F.array_sort(spans), start, step)))
     text = F.when(F.col("_done").isNotNull(), F.concat("_done.text", F.substring(F.col("text"), F.col("_done.at") + 1, F.length("text")))).otherwise(F.col("text"))
     changed = {"text": text} | ({"n_chars": F.when(F.col("_done").isNotNull(), F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {})

@@ -17,9 +17,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate component."""
-    kept = neardup.near_duplicates(docs.select("doc_id", "text")).where("kept").select("doc_id")
-    return docs.join(kept, "doc_id", "left_semi").select(*docs.columns)
+    """One document of each near-duplicate component; documents without a doc_id are all kept."""
+    dropped = neardup.near_duplicates(docs.select("doc_id", "text")).where("not kept").select("doc_id")
+    return docs.join(dropped, "doc_id", "left_anti").select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
