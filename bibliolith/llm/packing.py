@@ -12,6 +12,7 @@ from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 from functools import partial
+from unicodedata import is_normalized
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -20,7 +21,7 @@ from pyspark.sql import functions as F
 from .common import gapless_rank, materialize
 
 #: Words, and their stems without capitals and stops, whose ids a worker keeps; beyond that many it starts anew, so its memory stays bounded.
-KEPT_WORDS, KEPT_STEMS = 300_000, 900_000
+KEPT_WORDS, KEPT_STEMS = 600_000, 900_000
 
 _TOKENIZERS: dict[str, object] = {}
 _WORDS: dict[str, _Words] = {}
@@ -41,28 +42,57 @@ def _tokenizer(path: str):
     return _TOKENIZERS[path]
 
 
-def _ids(tokenizer, text: str) -> bytes:
-    out = array("I", tokenizer.encode(text, add_special_tokens=False).ids)
+def _little(ids: list[int]) -> bytes:
+    out = array("I", ids)
     if sys.byteorder == "big":
         out.byteswap()
     return out.tobytes()
 
 
-class _Words:
-    """The ids of words by their UTF-8 bytes; a word that is letters and one stop or comma is looked up as two."""
+def _ids(tokenizer, text: str) -> bytes:
+    return _little(tokenizer.encode(text, add_special_tokens=False).ids)
+
+
+def _byte_letters() -> dict[int, str]:
+    """The byte-level alphabet: printable bytes stand for themselves, the others for letters from U+0100 on."""
+    shown = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(0x100 + n) for n, b in enumerate(hidden)}
+
+
+class _Words(dict):
+    """The ids of words by their UTF-8 bytes, learnt as they are looked up; a word that is letters and one stop or comma is looked up as two.
+
+    A stem of letters is one unit of the pre-tokenizer, so it goes straight to the tokenizer's model once it is in the form
+    that the normalizer gives it: composed, in lower case, its bytes as letters. Scripts from U+0590 on, whose letters newer
+    Unicode versions add to, go through the whole tokenizer.
+    """
 
     def __init__(self, tokenizer):
-        self.tokenizer, self.known, self.stems = tokenizer, {}, {}
+        super().__init__()
+        self.tokenizer, self.stems = tokenizer, {}
+        self.model, self.letters = tokenizer.model, _byte_letters()
 
     def _stem(self, stem: str) -> bytes:
         found = self.stems.get(stem)
         if found is None:
             if len(self.stems) > KEPT_STEMS:
                 self.stems.clear()
-            found = self.stems[stem] = _ids(self.tokenizer, stem)
+            found = self.stems[stem] = self._encode(stem)
         return found
 
-    def learn(self, raw: bytes) -> bytes:
+    def _encode(self, stem: str) -> bytes:
+        if stem.isascii():
+            unit = stem
+        elif stem.isalpha() and max(stem) < "\u0590" and "Σ" not in stem and is_normalized("NFC", stem):
+            unit = stem.lower().encode().decode("latin-1").translate(self.letters)
+        else:
+            return _ids(self.tokenizer, stem)
+        if not stem.isalpha():
+            return _ids(self.tokenizer, stem)
+        return _little([token.id for token in self.model.tokenize(unit)])
+
+    def __missing__(self, raw: bytes) -> bytes:
         word = raw.decode()
         stem, stop = (word[:-1], word[-1]) if word[-1] in ".,;:!?" else (word, "")
         if stem.isascii():
@@ -71,16 +101,13 @@ class _Words:
             ids = self._stem(stem) + self._stem(stop) if stop else self._stem(stem)
         else:
             ids = _ids(self.tokenizer, word)
-        self.known[raw] = ids
+        self[raw] = ids
         return ids
 
     def encode(self, words: list[bytes]) -> bytes:
-        if len(self.known) > KEPT_WORDS:
-            self.known.clear()
-        ids = list(map(self.known.get, words))
-        if None in ids:
-            ids = [self.known.get(w) or self.learn(w) for w in words]
-        return b"".join(ids)
+        if len(self) > KEPT_WORDS:
+            self.clear()
+        return b"".join(map(self.__getitem__, words))
 
 
 def encode_words(texts: list[bytes], path: str) -> Iterator[bytes]:
