@@ -61,3 +61,18 @@ def test_clusters_of_several_tiles(spark, monkeypatch):
 
 def test_no_documents(spark):
     assert neardup.near_duplicates(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_one_slot_texts_make_no_large_task(spark, monkeypatch):
+    """Many short texts that differ in one word share buckets and sketches without being linked; copies among them still are."""
+    monkeypatch.setattr(neardup, "TILE", 64)
+    rows = [(i, f"your parcel with number n{i % 390} comes today", "", "") for i in range(400)]
+    rows += [(1000 + i, f"a b c d e f g h i j k l m n o p q r s t u v w x y z {'end' if i % 2 else 'stop'} x{i}", "", "") for i in range(200)]
+    check(spark, rows)
+
+
+def test_the_bitmap_keeps_every_id(spark):
+    texts = spark.range(5000).selectExpr("id", "cast(id as string) as text")
+    ids = spark.range(0, 5000, 7)
+    kept = {r.id for r in neardup._sifted(texts, ids).collect()}
+    assert kept >= set(range(0, 5000, 7)) and len(kept) < 800
