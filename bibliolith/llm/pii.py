@@ -1,9 +1,11 @@
 """Personal data by fixed patterns and by bootstrapped contexts, in SQL functions only.
 
 The fixed patterns (e-mail, IPv4, card, phone) give the base spans. They are also the seeds of the bootstrap: every
-base span and every identifier-like token or run of digit groups is an *instance*, the words before it its lexical *pattern*,
-and the distinct pairs form a bipartite graph. Patterns are scored by the part of their instances that is known, instances by the patterns they occur
-in, in turn. Patterns that end with high confidence mark their unseen instances.
+base span and every identifier-like token or run of digit groups is an *instance*, the words around it make its lexical
+*patterns*: the two words before it; the word before and the word after, with the kind of instance; the word before alone,
+with the kind of instance. The distinct pairs form a bipartite graph. Patterns are scored by the part of their instances that
+is known, instances by the patterns they occur in, in turn. Patterns that end with high confidence mark their unseen
+instances; one word alone needs more seeds and more confidence.
 """
 
 from __future__ import annotations
@@ -27,10 +29,15 @@ PATTERNS = {
 #: An instance: groups of digits with blanks between, or a token with a digit or an at sign.
 _INSTANCE = r"(?:[(\"'\[]?+\+?+[(]?+[0-9][0-9().-]*+(?:\x20[(]?+[0-9][0-9().-]*+)++[^\s0-9\p{L}]*+(?!\S)|(?=[^\s0-9@]*+[0-9@])\S{5,}+)"
 #: Two words without digits, or one that starts a line, then an instance.
-_WORDS = r"(?:(?<!\S)[^\s0-9@]{1,40}+[\x20\t]{1,3}+|(?m:^))[^\s0-9@]{1,40}+[\x20\t]{1,3}+"
+_WORDS = r"(?:(?<!\S)[^\s0-9@]++[\x20\t]{1,3}+|(?m:^))[^\s0-9@]++[\x20\t]{1,3}+"
 MENTION = rf"{_WORDS}{_INSTANCE}"
 #: Its words, its instance, and the instance without the marks around it.
 CUE, TOKEN = r"^([^0-9@]*[^\s0-9@])[\x20\t]+[^\s0-9@]*[0-9@]", r"^[^0-9@]*[\x20\t]([^\s0-9@]*[0-9@][\s\S]*)$"
+#: The word after an instance.
+AFTER = r"^[\x20\t]{1,3}([^\s0-9@]+)"
+#: How patterns begin, by what they are made of, and how many times the support, and what share of the missing confidence, each needs.
+PAIR, AROUND, SINGLE = "2 ", "a ", "1 "
+DEMANDS = {PAIR: (1, 1.0), AROUND: (1, 1.0), SINGLE: (4, 0.5)}
 IDENT = r"^[^\p{L}\p{N}+]*+([\s\S]*?)[^\p{L}\p{N}]*$"
 
 
@@ -88,7 +95,7 @@ def bootstrap_patterns(mentions: DataFrame, rounds: int = 3, support: int = 5, c
 
     `mentions` has cue, ident and seed (is the instance a base entity somewhere). A pattern's score is the mean belief in
     its distinct instances; with `support` distinct seeds or discovered instances and a score of `confidence` it is
-    accepted, and an instance in accepted patterns is believed by noisy-or of their scores. Counts are pre-aggregated over
+    accepted (a single word needs four times the support and half of the doubt), and an instance in accepted patterns is believed by noisy-or of their scores. Counts are pre-aggregated over
     distinct pairs, so frequent patterns and instances don't gather their rows in one task.
     """
     pairs = materialize(mentions.groupBy("cue", "ident").agg(F.max("seed").alias("seed")), "pii-pairs")
@@ -97,66 +104,89 @@ def bootstrap_patterns(mentions: DataFrame, rounds: int = 3, support: int = 5, c
     accepted = None
     for _ in range(rounds):
         scored = pairs.join(belief, "ident", "left").groupBy("cue").agg(F.avg(F.coalesce("known", F.lit(0.0))).alias("score"), F.count_if(F.col("known") >= confidence).alias("n"))
-        accepted = materialize(scored.where((F.col("n") >= support) & (F.col("score") >= confidence)).select("cue", F.least("score", F.lit(0.999)).alias("score")), "pii-patterns")
+        single = F.startswith("cue", F.lit(SINGLE))
+        times, doubt = (F.when(single, DEMANDS[SINGLE][k]).otherwise(DEMANDS[PAIR][k]) for k in (0, 1))
+        accepted = materialize(scored.where((F.col("n") >= support * times) & (F.col("score") >= 1 - (1 - confidence) * doubt)).select("cue", F.least("score", F.lit(0.999)).alias("score")), "pii-patterns")
         marked = pairs.join(accepted, "cue").groupBy("ident").agg((1 - F.exp(F.sum(F.ln(1 - F.col("score"))))).alias("known"))
         belief = materialize(seeds.unionByName(marked).groupBy("ident").agg(F.max("known").alias("known")), "pii-belief")
     return accepted
 
 
+def _cues(words: Column, after: Column, ident: Column) -> Column:
+    """The patterns of an instance from the words before it, the word after it, and what it is made of."""
+    last = F.substring_index(words, " ", -1)
+    kind = F.when(F.contains(ident, F.lit("@")), "@").when(ident.rlike(r"\p{L}"), "a").otherwise("9")
+    around = F.when(after != "", F.concat(F.lit(AROUND), last, F.lit(" "), kind, F.lit(" "), after))
+    return F.array_compact(F.array(F.when(F.contains(words, F.lit(" ")), F.concat(F.lit(PAIR), words)), around, F.concat(F.lit(SINGLE), last, F.lit(" "), kind)))
+
+
 def find_pii(docs: DataFrame, rounds: int = 3, support: int = 5, confidence: float = 0.8) -> DataFrame:
     """One row per document: counts of base spans by kind, base_sha256, spans, and n_contextual for those that contexts add.
 
     Null texts are empty. Spans are kind:start:end in code points, joined by commas in order of start, then kind;
-    contextual ones have kind "context" and never overlap a base span. Repeated rows and ids give a row each. No
-    documents, no rows. Other columns are ignored.
+    contextual ones have kind "context" and never overlap a base span. Repeated rows and ids give a row each, each by its own
+    text. No documents, no rows. Other columns are ignored.
     """
+    return _detected(docs, rounds, support, confidence).drop("_text")
+
+
+def _detected(docs: DataFrame, rounds: int, support: int, confidence: float) -> DataFrame:
+    """The rows of `find_pii` and a hash of the text of each, _text."""
     text = F.coalesce(F.col("text"), F.lit(""))
     runs = []
     for kind, pattern in {**PATTERNS, "mention": MENTION}.items():
         values, gaps = _runs(text, pattern, F.contains(text, F.lit(_NEEDS[kind])) if kind in _NEEDS else text.rlike("[0-9@]"))
         runs += [values.alias(f"{kind}_values"), gaps.alias(f"{kind}_gaps")]
-    found = docs.select("doc_id", *runs)
+    follow = F.when(text.rlike("[0-9@]"), F.transform(F.split(text, MENTION, -1), lambda g: F.regexp_extract(g, r"^[\x20\t]*+(?:[^\s0-9@]++(?:\s|$))?+", 0)))
+    found = docs.select("doc_id", F.xxhash64("text").alias("_text"), *runs, follow.alias("mention_follow"))
     flat = F.concat(*map(_tagged, KINDS))
     token = lambda m: F.regexp_extract(m["value"], TOKEN, 1)
-    marks = F.transform(
-        _spans("mention_values", "mention_gaps"),
-        lambda m: F.struct(
-            F.lower(F.regexp_replace(F.regexp_extract(m["value"], CUE, 1), r"[\x20\t]+", " ")).alias("cue"), F.regexp_extract(token(m), IDENT, 1).alias("ident"),
+    # what follows an instance is the gap behind it or, where that is empty, the words of the next one
+    v = F.col("mention_values")
+    after = F.transform(v, lambda _, i: F.lower(F.regexp_extract(F.concat(F.col("mention_follow")[i + 1], F.coalesce(F.try_element_at(v, i + 2), F.lit(""))), AFTER, 1)))
+    words = lambda m: F.lower(F.regexp_replace(F.regexp_extract(m["value"], CUE, 1), r"[\x20\t]+", " "))
+    ident = lambda m: F.regexp_extract(token(m), IDENT, 1)
+    marks = F.zip_with(
+        _spans("mention_values", "mention_gaps"), after,
+        lambda m, a: F.struct(
+            _cues(words(m), a, ident(m)).alias("cues"), ident(m).alias("ident"),
             (m["end"] - F.length(token(m)) + F.length(F.regexp_extract(token(m), r"^([^\p{L}\p{N}+]*+)", 1))).alias("start"),
         ),
     )
-    rows = found.select("doc_id", F.array_sort(flat).alias("base"), F.filter(marks, lambda m: F.length(m["ident"]) >= 5).alias("marks"))
+    marks = F.filter(marks, lambda m: F.length(m["ident"]) >= 5)
+    rows = found.select("doc_id", "_text", F.monotonically_increasing_id().alias("_row"), F.array_sort(flat).alias("base"), marks.alias("marks"))
     rows = materialize(rows, "pii-base")
 
     values = rows.select(F.explode("base.value").alias("ident")).distinct().withColumn("seed", F.lit(1))
-    mentions = rows.select(F.explode("marks").alias("m")).select("m.cue", "m.ident").groupBy("cue", "ident").agg(F.count(F.lit(1)).alias("n"))
+    mentions = rows.select(F.explode("marks").alias("m")).select(F.explode("m.cues").alias("cue"), "m.ident").groupBy("cue", "ident").agg(F.count(F.lit(1)).alias("n"))
     mentions = mentions.join(values, "ident", "left").withColumn("seed", F.coalesce("seed", F.lit(0)))
     accepted = bootstrap_patterns(mentions, rounds, support, confidence)
 
-    # the discovered (cue, instance) pairs go back to the documents by document, not by pattern
-    cued = rows.where(F.size("marks") > 0).select("doc_id", F.explode("marks").alias("m")).select("doc_id", "m.cue", "m.ident", "m.start").join(accepted.select("cue"), "cue")
-    extra = cued.groupBy("doc_id").agg(F.collect_set(F.struct(F.col("start").cast("int").alias("start"), F.lit(len(KINDS)).alias("rank"), F.lit("context").alias("kind"), (F.col("start") + F.length("ident")).cast("int").alias("end"), F.col("ident").alias("value"))).alias("extra"))
-    joined = rows.join(extra, "doc_id", "left")
+    # the discovered (cue, instance) pairs go back to their rows, not to all rows of an id or a pattern
+    cued = rows.where(F.size("marks") > 0).select("_row", F.explode("marks").alias("m")).select("_row", F.explode("m.cues").alias("cue"), "m.ident", "m.start").join(accepted.select("cue"), "cue")
+    extra = cued.groupBy("_row").agg(F.collect_set(F.struct(F.col("start").cast("int").alias("start"), F.lit(len(KINDS)).alias("rank"), F.lit("context").alias("kind"), (F.col("start") + F.length("ident")).cast("int").alias("end"), F.col("ident").alias("value"))).alias("extra"))
+    joined = rows.join(extra, "_row", "left")
     new = F.filter(F.coalesce("extra", F.array()), lambda e: ~F.exists("base", lambda b: (b["start"] < e["end"]) & (e["start"] < b["end"])))
     joined = joined.withColumn("new", new)
     line = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
-    return joined.select("doc_id", *map(_count, KINDS), F.sha2(line(F.col("base")).cast("binary"), 256).alias("base_sha256"), line(F.array_sort(F.concat("base", "new"))).alias("spans"), F.size("new").cast("long").alias("n_contextual"))
+    return joined.select("doc_id", "_text", *map(_count, KINDS), F.sha2(line(F.col("base")).cast("binary"), 256).alias("base_sha256"), line(F.array_sort(F.concat("base", "new"))).alias("spans"), F.size("new").cast("long").alias("n_contextual"))
 
 
 def redact(docs: DataFrame, rounds: int = 3, support: int = 5, confidence: float = 0.8) -> DataFrame:
     """The rows of `docs` with every span of personal data in `text` replaced by its kind, as in <EMAIL>.
 
     Overlapping spans are replaced as one, by the kind of the one that starts first (then the longer). n_chars, where there is one, is set
-    anew for changed texts. Null texts stay null. doc_id must be unique; rows that repeat one are each redacted.
+    anew for changed texts. Null texts stay null. Rows that repeat a doc_id are each redacted by their own text.
     """
-    found = find_pii(docs.select("doc_id", "text"), rounds, support, confidence).where("spans <> ''").groupBy("doc_id").agg(F.min("spans").alias("_spans"))
+    found = _detected(docs.select("doc_id", "text"), rounds, support, confidence).where("spans <> ''").groupBy("doc_id", "_text").agg(F.min("spans").alias("_spans"))
     spans = F.transform(F.split("_spans", ","), lambda s: F.struct(F.split(s, ":")[1].cast("int").alias("start"), (-F.split(s, ":")[2].cast("int")).alias("end"), F.upper(F.split(s, ":")[0]).alias("kind")))
     start = F.struct(F.lit("").alias("text"), F.lit(0).alias("at"))
     step = lambda acc, s: F.when(
         s["start"] >= acc["at"],
         F.struct(F.concat(acc["text"], F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), F.lit("<"), s["kind"], F.lit(">")).alias("text"), (-s["end"]).alias("at")),
     ).otherwise(F.struct(acc["text"].alias("text"), F.greatest(acc["at"], -s["end"]).alias("at")))
-    marked = docs.join(found, "doc_id", "left").withColumn("_done", F.when(F.col("_spans").isNotNull(), F.aggregate(F.array_sort(spans), start, step)))
+    keyed = found.withColumnRenamed("doc_id", "_id")
+    marked = docs.join(keyed, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.xxhash64("text") == F.col("_text")), "left").withColumn("_done", F.when(F.col("_spans").isNotNull(), F.aggregate(F.array_sort(spans), start, step)))
     text = F.when(F.col("_done").isNotNull(), F.concat("_done.text", F.substring(F.col("text"), F.col("_done.at") + 1, F.length("text")))).otherwise(F.col("text"))
     changed = {"text": text} | ({"n_chars": F.when(F.col("_done").isNotNull(), F.length(text).cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars"))} if "n_chars" in docs.columns else {})
     return marked.select(*(changed[c].alias(c) if c in changed else c for c in docs.columns))
