@@ -1,7 +1,7 @@
 """Secret scan: a random forest sorts false positives out of pattern findings, in SQL functions and Spark ML only.
 
-Every token of 16 characters or more with a digit is a candidate, and so is every token of 6 or more after a cue; the key of
-an assignment is no part of its value. The forest sees its length, its character transitions, how much of it a
+Every token of 16 characters or more with a digit, a capital after a small letter or 16 capitals in a row is a candidate, and so
+is every token of 6 or more after a cue; the key of an assignment and a full stop behind are no part of its value. The forest sees its length, its character transitions, how much of it a
 dictionary covers, the path it was found under and the words beside it, and is trained on labelled findings. Its trees
 run as one column expression.
 """
@@ -16,18 +16,18 @@ from pyspark.sql import functions as F
 from .common import discard, materialize
 from .pii import _runs, _spans
 
-#: A token of 16 characters or more of keys, tokens and hashes, with a digit. An equals sign ends it, but for padding.
+#: A token of 16 characters or more of keys, tokens and hashes: with a digit, with mixed case, or capitals only. An equals sign ends it, but for padding.
 _END = r"(?:={1,2}+(?![A-Za-z0-9_+/.-]))?+"
-CANDIDATE = rf"(?<![A-Za-z0-9_+/.-])(?=[A-Za-z_+/.-]*+[0-9])[A-Za-z0-9_+/.-]{{16,}}+{_END}"
+CANDIDATE = rf"(?<![A-Za-z0-9_+/.-])(?=[A-Za-z_+/.-]*+[0-9]|[A-Z_+/.-]*+[a-z_+/.-]++[A-Z]|[A-Z]{{16}})[A-Za-z0-9_+/.-]{{16,}}+{_END}"
 #: Characters of context on each side.
 NEAR = 48
 #: Formats of known issuers.
 ISSUED = r"^(?:AKIA[0-9A-Z]{16}|gh[pousr]_[A-Za-z0-9]{30,}|sk_(?:live|test)_[A-Za-z0-9]{16,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[0-9A-Za-z_-]{35}|eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*|glpat-[A-Za-z0-9_-]{20,})"
-CUES = r"(?i)(?:token|secret|passw(?:or)?d|passwd|api[ _-]?key|apikey|access[ _-]?key|private[ _-]?key|bearer|credential|auth(?:orization)?|client[ _-]?secret)\W*$"
+CUES = r"(?i)(?:token|secret|passw(?:or)?d|passwd|api[ _-]?key|apikey|access[ _-]?key|private[ _-]?key|bearer|credential|auth(?:orization)?|client[ _-]?secret)(?:\W{1,3}(?:is|was))?\W*$"
 HASH_CUES = r"(?i)(?:commit|sha-?[0-9]*|md5|checksum|digest|etag|revision|uuid|guid|hash|build|version|isbn|doi|id)\W*$"
 #: The same or, after a cue, a token of 6 characters or more, with digits or without.
 _CUED = r"(?i:token|secret|passw(?:or)?d|api[ _-]?key|access[ _-]?key|private[ _-]?key|bearer|credential|auth|authorization)"
-CUED_CANDIDATE = rf"{CANDIDATE}|(?<![A-Za-z0-9_+/.-])(?<={_CUED}[\"'`\s]{{0,3}}[=:\s][\"'`\s]{{0,3}})[A-Za-z0-9_+/.-]{{6,}}+{_END}"
+CUED_CANDIDATE = rf"{CANDIDATE}|(?<![A-Za-z0-9_+/.-])(?<={_CUED}[\"'`\s]{{0,3}}(?:[=:\s]|\sis\s|\swas\s)[\"'`\s]{{0,3}})[A-Za-z0-9_+/.-]{{6,}}+{_END}"
 ASSIGNED = r"[=:]\s*[\"'`]?$"
 PLACES = r"(?i)(?:test|example|sample|fixture|mock|doc|demo|vendor|lock)"
 #: Words that placeholders and identifiers are made of.
@@ -132,17 +132,19 @@ def scan(docs: DataFrame, trees: list | None = None, threshold: float = 0.5) ->
     """One row per candidate of `docs` (doc_id, text, source): doc_id, start, end (code points), value_sha256, probability, secret.
 
     `source` is the path and may be null; null and empty texts have no candidates. Repeated rows give repeated findings.
-    The value itself is not returned, only its hash. Other columns are ignored.
+    The value itself is not returned, only its hash. Other columns are ignored. An empty table gives no rows.
     """
     trees = trees if trees is not None else fit(labelled_findings(docs.sparkSession))
     text = F.coalesce("text", F.lit(""))
     cued = text.rlike(_CUED)
-    plain, near_cues = _runs(text, CANDIDATE, ~cued & text.rlike("[0-9]")), _runs(text, CUED_CANDIDATE, cued)
+    plain, near_cues = _runs(text, CANDIDATE, ~cued), _runs(text, CUED_CANDIDATE, cued)
     values, gaps = (F.when(cued, b).otherwise(a) for a, b in zip(plain, near_cues, strict=True))
     found = docs.select("doc_id", "source", "text", values.alias("c_values"), gaps.alias("c_gaps")).where(F.size("c_values") > 0)
     each = found.select("doc_id", "source", "text", F.explode(_spans("c_values", "c_gaps")).alias("m"))
     begin = F.greatest(F.col("m.start") - NEAR, F.lit(0))
-    near = each.select("doc_id", "source", "m.start", "m.end", "m.value", F.col("text").substr(begin + 1, F.col("m.start") - begin).alias("before"))
+    value = F.rtrim(F.col("m.value"), F.lit("."))
+    near = each.select("doc_id", "source", "m.start", (F.col("m.start") + F.length(value)).alias("end"), value.alias("value"), F.col("text").substr(begin + 1, F.col("m.start") - begin).alias("before"))
+    near = near.where(F.length("value") >= 6)
     scored = near.select("doc_id", "start", "end", "value", *(c.cast("double").alias(k) for k, c in features(F.col("value"), F.col("before"), F.col("source")).items()))
     scored = scored.withColumn("probability", probability(trees))
     return scored.select(
