@@ -2,9 +2,10 @@
 
 The groups, ordered by the SHA-256 of their text, are cut into k contiguous runs so that the largest run is as small
 as any contiguous cut allows. The smallest feasible capacity is found by binary search, each candidate checked by the
-greedy walk. The driver never holds the groups: it walks *segments* (key prefixes with their byte sums). Segments that
-could hold a cut for any capacity still possible are split by further key digits until they are single groups, so
-the answer is that of the full list of groups.
+greedy walk. The driver never holds the groups: it walks *segments* (runs of keys with a common prefix, with their byte
+sums); the few groups that outweigh a part of a shard are segments of their own from the start. Segments that could hold a
+cut for any capacity still possible are split by further key digits until they are single groups, so the answer is that
+of the full list of groups.
 """
 
 from __future__ import annotations
@@ -19,15 +20,21 @@ from .common import gapless_rank, materialize, text_bytes, text_crc32
 
 #: Key digits of the first segments, and digits added to a segment that is split.
 FIRST_DIGITS, MORE_DIGITS = 3, 2
+#: Groups of more than this part of a shard's even share stand alone; there are at most `HEAVY_PART * shards` of them.
+HEAVY_PART = 16
 
 
 class Segment:
-    """A run of groups whose keys start with `prefix`: their bytes, and whether it is one group only."""
+    """A run of groups from the key `first` to the key `last`: their bytes, and whether it is one group only."""
 
-    __slots__ = ("atomic", "prefix", "size")
+    __slots__ = ("first", "last", "size")
 
-    def __init__(self, prefix: str, size: int, atomic: bool):
-        self.prefix, self.size, self.atomic = prefix, size, atomic
+    def __init__(self, first: str, last: str, size: int):
+        self.first, self.last, self.size = first, last, size
+
+    @property
+    def atomic(self) -> bool:
+        return self.first == self.last
 
 
 def _prefix_sums(segments: list[Segment]) -> list[int]:
@@ -86,9 +93,16 @@ def _in_windows(segments: list[Segment], sums: list[int], low: int, high: int, s
 def minimax_cuts(keyed: DataFrame, shards: int, key: str = "key", size: str = "size") -> list[str]:
     """The first key of shard 1, 2, ... (fewer if the groups fill fewer shards); `key` is a hex string."""
 
+    total = keyed.agg(F.sum(size).alias("n")).first().n or 0
+    heavy = keyed.groupBy(key).agg(F.sum(size).alias("s")).where(F.col("s") * (HEAVY_PART * shards) > total).select(key)
+    heavy = sorted(r[0] for r in heavy.collect())
+    # the heavy keys at or before a key, and is it one of them
+    before = F.size(F.filter(F.array(*map(F.lit, heavy)).cast("array<string>"), lambda h: h <= F.col(key)))
+    zone = F.struct(before, F.col(key).isin(heavy)) if heavy else F.lit(0)
+
     def split(rows: DataFrame, digits: int) -> list[Segment]:
-        summed = rows.groupBy(F.substring(key, 1, digits).alias("p")).agg(F.sum(size).alias("s"), F.min(key).alias("a"), F.max(key).alias("b"))
-        return [Segment(r.a if r.a == r.b else r.p, int(r.s), r.a == r.b) for r in summed.orderBy("p").collect()]
+        summed = rows.groupBy(F.substring(key, 1, digits).alias("p"), zone.alias("z")).agg(F.sum(size).alias("s"), F.min(key).alias("a"), F.max(key).alias("b"))
+        return [Segment(r.a, r.b, int(r.s)) for r in summed.orderBy("a").collect()]
 
     segments = split(keyed, FIRST_DIGITS)
     digits = FIRST_DIGITS
@@ -98,13 +112,12 @@ def minimax_cuts(keyed: DataFrame, shards: int, key: str = "key", size: str = "s
         again = _in_windows(segments, sums, low, high, shards) if low < high else []
         if not again:
             cuts = _walk(segments, sums, high, shards, False)
-            return [segments[bisect_right(sums, c) - 1].prefix for c in cuts if c < sums[-1]]
+            return [segments[bisect_right(sums, c) - 1].first for c in cuts if c < sums[-1]]
         digits += MORE_DIGITS
-        prefixes = [segments[k].prefix for k in again]
-        inside = reduce(lambda a, b: a | b, (F.substring(key, 1, n).isin([p for p in prefixes if len(p) == n]) for n in sorted({*map(len, prefixes)})))
+        inside = reduce(lambda a, b: a | b, (F.col(key).between(segments[k].first, segments[k].last) for k in again))
         finer = split(keyed.where(inside), digits)
         again_set = set(again)
-        segments = sorted([s for k, s in enumerate(segments) if k not in again_set] + finer, key=lambda s: s.prefix)
+        segments = sorted([s for k, s in enumerate(segments) if k not in again_set] + finer, key=lambda s: s.first)
     return []
 
 

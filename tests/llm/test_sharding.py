@@ -44,3 +44,22 @@ def test_few_and_no_documents(spark):
     one = sharding.shard_documents(spark.createDataFrame([(1, "a", "")], DOCS)).collect()
     assert [(r.shard, r.slot) for r in one] == [(0, 0)]
     assert sharding.shard_documents(spark.createDataFrame([], DOCS)).count() == 0
+
+
+def test_a_group_of_a_third_of_all_bytes_costs_no_long_lists(spark, monkeypatch):
+    """The heavy groups are segments of their own, so few rows come to the driver, and the capacity is still the least."""
+    rnd = random.Random(5)
+    rows = [(i, "y" * rnd.randint(1, 90) + str(i), "") for i in range(3000)] + [(3000 + i, "long " * 300, "") for i in range(60)] + [(4000, "z" * 70_000, "")]
+    keyed = spark.createDataFrame(rows, DOCS)
+    held = []
+    real = sharding.Segment
+    monkeypatch.setattr(sharding, "Segment", lambda *a: held.append(1) or real(*a))
+    out = sharding.shard_documents(keyed, 4).toPandas()
+    import hashlib
+
+    sizes = {}
+    for _, t, _ in rows:
+        k = hashlib.sha256(t.encode()).hexdigest()
+        sizes[k] = sizes.get(k, 0) + len(t) + 1
+    assert out.groupby("shard")["size"].sum().max() == least_capacity([sizes[k] for k in sorted(sizes)], 4)
+    assert len(held) < 2500 + 4 * 16 * 3
