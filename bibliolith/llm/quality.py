@@ -99,7 +99,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", sample: int
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min(label).cast("double").alias("label"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    rows = materialize(texts.select("label", *(c.cast("double").alias(n) for n, c in statistics(F.col("text")).items())).coalesce(8), "quality-sample")
+    rows = materialize(texts.select("label", *(c.cast("double").alias(n) for n, c in statistics(F.col("text")).items())).repartition(8), "quality-sample")
     counts = {r.label: r.n for r in rows.groupBy("label").agg(F.count(F.lit(1)).alias("n")).collect()}
     total = sum(counts.values())
     if len(counts) < 2:
