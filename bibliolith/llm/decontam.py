@@ -5,6 +5,7 @@ is hashed under each mask, and so is every window of every document; equal hashe
 document are aligned word by word on the hit's diagonal, and any stretch with enough matching words decides. Together the
 masks are complete: every stretch with 12 matching words or more of which three quarters match holds a hit of one of them
 (a stretch of 32 words or more has a half that meets the rule, and all patterns of up to 31 words were counted out).
+Items of fewer than six words are found by one hash of all their words.
 """
 
 from __future__ import annotations
@@ -20,6 +21,8 @@ from .common import binary_batch, mix64, slices, small_batches, span_hashes
 
 #: The masks: 1 counts, 0 is ignored. Six words must agree in windows of 6 to 10.
 MASKS = ("111111", "111001101", "1001010111", "101100111", "1110100011", "1100101101", "11110101", "1101111", "11111001")
+#: Hits, and words of diagonals, that are held in memory at once.
+AT_ONCE = 1 << 20
 #: Test items are compared in blocks of this many bytes of text at most, so what is broadcast stays bounded.
 BLOCK_BYTES = 8 << 20
 #: Matching words that a stretch must have (fewer for shorter items: all of them), and the part of it that must match.
@@ -65,32 +68,61 @@ class ItemIndex:
         offsets = np.concatenate(([0], np.cumsum([len(t) for t in texts]))).astype(np.int64)
         self.ids = np.array(ids, np.int64)
         self.words, self.at = words_of(np.frombuffer(b"".join(texts), np.uint8), offsets)
-        self.seeds = []
-        for mask in MASKS:
+        self.seeds: list[tuple[str, np.ndarray, np.ndarray]] = []
+        count = np.diff(self.at)
+        shortest = min(map(len, MASKS))
+        for mask in (*MASKS, *("1" * n for n in range(1, shortest))):
             h, pos = seed_hashes(self.words, self.at, mask)
+            if len(mask) < shortest:  # whole items only
+                whole = count[np.searchsorted(self.at, pos, "right") - 1] == len(mask)
+                h, pos = h[whole], pos[whole]
             order = np.argsort(h, kind="stable")
-            self.seeds.append((h[order], pos[order]))
+            if len(h):
+                self.seeds.append((mask, h[order], pos[order]))
         # one bit for each low half of a hash settles nearly all windows without a search
         self.sieve = np.zeros(1 << 22, bool)
-        for h, _ in self.seeds:
+        for _, h, _ in self.seeds:
             self.sieve[(h & np.uint64((1 << 22) - 1)).astype(np.int64)] = True
 
-    def hits(self, words: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct (item word, document word) positions that start a common diagonal, by the least shift of each."""
-        found: list[tuple[np.ndarray, np.ndarray]] = []
-        for mask, (known, where) in zip(MASKS, self.seeds, strict=True):
-            if not len(known):
-                continue
+    def hits(self, words: np.ndarray, at: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Positions (item word, document word) of equal seeds, about AT_ONCE at a time: many items may share a seed."""
+        for mask, known, where in self.seeds:
             h, pos = seed_hashes(words, at, mask)
             maybe = np.flatnonzero(self.sieve[(h & np.uint64((1 << 22) - 1)).astype(np.int64)])
             h, pos = h[maybe], pos[maybe]
             a, b = np.searchsorted(known, h, "left"), np.searchsorted(known, h, "right")
-            n = b - a
-            k = np.repeat(np.arange(len(h)), n)
-            found.append((where[a[k] + np.arange(len(k)) - np.repeat(np.cumsum(n) - n, n)], pos[k]))
-        if not found:
-            return np.zeros(0, np.int64), np.zeros(0, np.int64)
-        return np.concatenate([f[0] for f in found]), np.concatenate([f[1] for f in found])
+            total = np.cumsum(b - a)
+            done, size = 0, int(total[-1]) if len(total) else 0
+            while done < size:
+                nth = np.arange(done, min(done + AT_ONCE, size))
+                k = np.searchsorted(total, nth, "right")
+                yield where[b[k] - (total[k] - nth)], pos[k]
+                done += len(nth)
+
+    def diagonals(self, words: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Distinct (row, item, document word - item word) of hits, less those with too few matching words on the whole diagonal."""
+        out = np.zeros((0, 3), np.int64)
+        for mine, theirs in self.hits(words, at):
+            found = np.unique(np.stack([np.searchsorted(at, theirs, "right") - 1, np.searchsorted(self.at, mine, "right") - 1, theirs - mine], 1), axis=0)
+            out = np.unique(np.concatenate([out, found[self._promising(found, words, at)]]), axis=0)
+        return out
+
+    def _promising(self, found: np.ndarray, words: np.ndarray, at: np.ndarray) -> np.ndarray:
+        row, item, shift = found.T
+        low, high = np.maximum(self.at[item], at[row] - shift), np.minimum(self.at[item + 1], at[row + 1] - shift)
+        need = np.minimum(LEAST_WORDS, self.at[item + 1] - self.at[item])
+        keep = np.zeros(len(found), bool)
+        ends = np.cumsum(high - low)
+        k = 0
+        while k < len(found):
+            to = max(k + 1, int(np.searchsorted(ends, (ends[k - 1] if k else 0) + AT_ONCE, "right")))
+            n = (high - low)[k:to]
+            first = np.cumsum(n) - n
+            mine = np.arange(int(n.sum())) + np.repeat(low[k:to] - first, n)
+            same = self.words[mine] == words[mine + np.repeat(shift[k:to], n)]
+            keep[k:to] = np.add.reduceat(same, first, dtype=np.int64) >= need[k:to]
+            k = to
+        return keep
 
     def overlap(self, item: int, shift: int, words: np.ndarray, row: tuple[int, int]) -> tuple[int, int, int] | None:
         """Matches, length and first document word of a stretch that meets the rule on a diagonal (document word - item word), if there is one.
@@ -131,12 +163,8 @@ def _scan(batches: Iterator, index: ItemIndex) -> Iterator:
         for a, b in slices(offsets, 2 << 20):
             part = offsets[a : b + 1]
             words, at = words_of(data[part[0] : part[-1]], part - part[0])
-            mine, theirs = index.hits(words, at)
-            row = np.searchsorted(at, theirs, "right") - 1
-            item = np.searchsorted(index.at, mine, "right") - 1
-            diagonals = np.unique(np.stack([row, item, theirs - mine], 1), axis=0)
             best: dict[tuple[int, int], tuple[int, int, int]] = {}
-            for r, i, shift in diagonals.tolist():
+            for r, i, shift in index.diagonals(words, at).tolist():
                 if found := index.overlap(i, shift, words, (int(at[r]), int(at[r + 1]))):
                     matched, length, start = found
                     best[r, i] = max(best.get((r, i), (0, 0, 0)), (matched, length, start - int(at[r])), key=lambda x: (x[0], -x[1], -x[2]))
@@ -175,8 +203,8 @@ def contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """(doc_id, item_id, matched_words, overlap_words, first_word, item_words) for each item that a document overlaps.
 
     An overlap is a stretch of an item on one diagonal with at least 12 matching words (all words of a shorter item) of
-    which three quarters or more match. Items of fewer than six words fit no mask and are never found; null and
-    empty texts overlap nothing. Repeated rows give repeated results. Other columns are ignored. Documents aren't shuffled;
+    which three quarters or more match. So an item of fewer than six words is found where all its words stand in a row; such
+    items can be common phrases, which item_words tells. Null and empty texts overlap nothing. Repeated rows give repeated results. Other columns are ignored. Documents aren't shuffled;
     test items are broadcast in blocks whose size is bounded by a constant, one pass over the documents for each block.
     """
     small_batches(docs.sparkSession)

@@ -24,3 +24,19 @@ def test_any_stretch_of_the_rule_is_found(spark):
     for r in out:
         s = same[r.doc_id][r.first_word - 2 : r.first_word - 2 + r.overlap_words]
         assert len(s) == r.overlap_words and sum(s) == r.matched_words >= 12 and 4 * sum(s) >= 3 * len(s)
+
+
+def test_short_items_are_found_whole(spark):
+    items = [(1, "Forty two"), (2, "Paris"), (3, "one two three four five"), (4, ""), (5, None), (6, "forty two is it")]
+    docs = [(1, "The answer: forty, two!"), (2, "forty and two"), (3, "In paris one two three four six"), (4, "zero One two, three four five six"), (5, None), (6, "forty two is")]
+    out = decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.item_id, r.matched_words, r.first_word, r.item_words) for r in out) == [(1, 1, 2, 2, 2), (3, 2, 1, 1, 1), (4, 3, 5, 1, 5), (6, 1, 2, 0, 2)]
+
+
+def test_a_seed_of_many_items_is_held_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(decontam, "AT_ONCE", 50)
+    prefix = "please answer the following question in one word"
+    items = [(i, f"{prefix} " + " ".join(f"i{i}w{k}" for k in range(9))) for i in range(120)]
+    docs = [(i, f"{prefix} x{i} {prefix}") for i in range(20)] + [(100, "so " + items[7][1]), (101, items[9][1].replace("i9w3", "other")), (100, "nothing")]
+    out = decontam.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r.doc_id, r.item_id, r.matched_words) for r in out) == [(100, 7, 17), (101, 9, 16)]
