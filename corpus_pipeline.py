@@ -23,8 +23,8 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that overlap no benchmark item."""
-    found = materialize(decontam.contaminated(docs.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc_id").distinct(), "contaminated")
+    """Documents that overlap no benchmark item of six words or more; shorter items are phrases that clean documents hold, too."""
+    found = materialize(decontam.contaminated(docs.select("doc_id", "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")).where("item_words >= 6").select("doc_id").distinct(), "contaminated")
     return docs.join(found, "doc_id", "left_anti").select(*docs.columns)
 
 
