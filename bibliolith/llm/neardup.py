@@ -320,7 +320,8 @@ def _wide_links(members: DataFrame, stars: DataFrame, texts: DataFrame, width: i
     Each document's best star pair is confirmed first, which joins most of a cluster. Sketches then tell which documents of
     different components still have to meet, and only their texts travel to the tiles.
     """
-    texts = materialize(_sifted(texts, members).join(members.select("id").hint("merge"), "id", "left_semi"), "wide-texts")
+    # an inner join: a semi join would be pushed below the sieve
+    texts = materialize(_sifted(texts, members).join(members.select("id").hint("merge"), "id"), "wide-texts")
     best = stars.join(members.select(F.col("id").alias("src")), "src").groupBy("src").agg(F.max_by("dst", F.struct("estimate", "dst")).alias("dst"))
     links = materialize(_confirmed(best, texts, width, num, den), "star-links")
     release_shuffles(members.sparkSession)
