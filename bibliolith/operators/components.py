@@ -8,45 +8,43 @@ from pyspark.sql import functions as F
 from ..scratch import discard, materialize
 
 
-def _is_settled(edges: DataFrame) -> bool:
-    """Are the edges (u, v) stars already: every u has one v, and no v is a u?"""
-    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("child"), F.lit(0).alias("parent")).union(edges.select("v", F.lit(0), F.lit(1)))
-    roles = ends.groupBy("node").agg(F.sum("child").alias("child"), F.max("parent").alias("parent"))
-    return roles.agg(F.count_if((F.col("child") > 1) | ((F.col("child") > 0) & (F.col("parent") > 0))).alias("n")).first().n == 0
-
-
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One contraction. Edges are (u, v) with u > v; the minima are a table of their own, so a hub's edges can be split over tasks when they meet its minimum."""
-    both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))) if large else edges
-    least = materialize(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "star-min")
-    joined = both.join(least, "u")
-    if large:
-        out = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-    else:
-        out = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-    out = materialize(out.where("u <> v").distinct(), "star-edges")
-    discard(least)
-    return out
+def _round(edges: DataFrame, least: DataFrame) -> DataFrame:
+    """Large-star, then small-star of edges (u, v) with u > v; `least` has the least neighbour, or itself, of every node.
+
+    The first join meets a table of minima, so that a hub's edges can be split over tasks. What it yields is dealt once by u, for
+    the minima of the second step and for the join with them.
+    """
+    both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    large = both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    dealt = large.repartition("u")
+    low = dealt.groupBy("u").agg(F.min("v").alias("m"))
+    joined = dealt.join(low, "u")
+    return joined.select(F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")).select("e.*").where("u <> v").distinct()
 
 
 def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     """(node, component) for every endpoint of `edges` (columns src, dst); a component is named by its least node.
 
     Alternates large-star (each node's larger neighbours move to the least neighbour) and small-star steps until only
-    stars are left: O(log^2 n) rounds, each two shuffles of the edges, whatever the diameter, and none for edges that are
+    stars are left: O(log^2 n) rounds, each four shuffles of the edges, whatever the diameter, and none for edges that are
     stars from the start. Self-loops give single nodes; rows with a null endpoint are ignored; repeated edges count once;
     no edges give no rows.
     """
     clean = edges.where("src is not null and dst is not null").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v"))
     first = materialize(clean.distinct(), "star-edges")
     nodes = first.select(F.col("u").alias("node")).union(first.select("v")).distinct()
-    current = first.where("u <> v")
-    rounds = 0
-    while not _is_settled(current):
+    current, rounds = first.where("u <> v"), 0
+    while True:
+        ends = current.select(F.col("u").alias("u"), F.col("v").alias("o"), F.lit(1).alias("child")).union(current.select("v", "u", F.lit(0)))
+        info = ends.groupBy("u").agg(F.least(F.min("o"), F.col("u")).alias("m"), F.sum("child").alias("children"), F.min("child").alias("leaf"))
+        info = materialize(info, "star-min")
+        # stars: every u has one v, and no v is a u
+        if info.where("children > 1 or (children > 0 and leaf = 0)").isEmpty():
+            break
         if rounds == max_rounds:
             raise RuntimeError(f"components did not converge in {max_rounds} rounds")
-        mid = _star(current, True)
-        after = _star(mid, False)
-        discard(mid, *([current] if rounds else []))
+        after = materialize(_round(current, info.select("u", "m")), "star-edges")
+        discard(info, *([current] if rounds else []))
         current, rounds = after, rounds + 1
+    discard(info)
     return nodes.join(current.select(F.col("u").alias("node"), F.col("v").alias("component")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
