@@ -253,8 +253,8 @@ def _deal(rows: DataFrame, num: int, den: int) -> DataFrame:
     """
     step = float(np.log(den / num)) + 1e-9
     weight = rows.groupBy("g", "comp").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("w"))
-    own = weight.select("g", "comp", F.when((F.col("n") >= TILE) | (F.col("w") >= TILE_SHINGLES), F.col("comp").cast("string")).otherwise("").alias("own"))
-    placed = rows.join(own, ["g", "comp"]).withColumn("size_class", F.floor(F.ln("n_shingles") / step).cast("int"))
+    own = weight.where((F.col("n") >= TILE) | (F.col("w") >= TILE_SHINGLES)).select("g", "comp", F.col("comp").cast("string").alias("own"))
+    placed = rows.join(own, ["g", "comp"], "left").withColumn("own", F.coalesce("own", F.lit(""))).withColumn("size_class", F.floor(F.ln("n_shingles") / step).cast("int"))
     units = placed.groupBy("g", "own", "size_class").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("w"))
     units = materialize(units.select("g", "own", "size_class", F.ceil(F.greatest(F.col("n") / TILE, F.col("w") / TILE_SHINGLES)).cast("int").alias("tiles")), "tile-units")
     name = F.concat_ws("/", "size_class", "own", F.pmod(F.xxhash64("id"), F.col("tiles")))
