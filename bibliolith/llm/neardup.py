@@ -139,6 +139,13 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, num: int, den: in
     return full.mapInArrow(partial(_confirm, width=width, num=num, den=den), "src long, dst long")
 
 
+def _labels(pairs: DataFrame, name: str) -> DataFrame:
+    """(node, component) by two steps from each src to its least dst: nodes of one label are connected, though not the other way round."""
+    up = materialize(pairs.groupBy("src").agg(F.min("dst").alias("dst")), name)
+    a, b = up.alias("a"), up.alias("b")
+    return a.join(b, F.col("a.dst") == F.col("b.src"), "left").select(F.col("a.src").alias("node"), F.coalesce("b.dst", "a.dst").alias("component"))
+
+
 def _with_component(ids: DataFrame, components: DataFrame, name: str) -> DataFrame:
     return ids.join(components.select(F.col("node").alias("id"), F.col("component").alias(name)), "id", "left").withColumn(name, F.coalesce(name, "id"))
 
@@ -293,10 +300,9 @@ def _clusters(sketches: DataFrame, num: int, den: int) -> tuple[DataFrame, DataF
     stars = shared.select("id", F.explode(F.array("lo", "hi")).alias("dst")).where("id <> dst").select(F.greatest("id", "dst").alias("src"), F.least("id", "dst").alias("dst")).distinct()
     stars = stars.join(light.alias("a"), F.col("src") == F.col("a.id")).join(light.alias("b"), F.col("dst") == F.col("b.id")).where(_close("a", "b", num, den))
     stars = materialize(stars.select("src", "dst", _estimate("a", "b").alias("estimate")), "star-pairs")
-    found = materialize(connected_components(stars), "star-clusters")
 
-    # buckets that hold several clusters: do sketches of different clusters agree?
-    placed = materialize(_with_component(shared.select("id", "key", "n"), found, "cluster"), "bucket-clusters")
+    # buckets that hold several labels: do sketches of different labels agree?
+    placed = materialize(_with_component(shared.select("id", "key", "n"), _labels(stars, "star-labels"), "cluster"), "bucket-clusters")
     mixed = materialize(placed.groupBy("key").agg(F.min("cluster").alias("a"), F.max("cluster").alias("b")).where("a <> b").select("key"), "open-buckets")
     rest = materialize(placed.join(mixed, "key").join(light, "id"), "open-members")
     discard(shared, placed, mixed)
@@ -309,9 +315,7 @@ def _clusters(sketches: DataFrame, num: int, den: int) -> tuple[DataFrame, DataF
         across = across.union(dealt.groupBy("g", "p1", "p2").applyInArrow(lambda t: _cluster_links(t, num, den), "src long, dst long"))
     across = materialize(across.distinct(), "cross-clusters")
     discard(rest)
-    joined = found.select(F.col("node").alias("src"), F.col("component").alias("dst")).union(across)
-    clusters = found if across.isEmpty() else materialize(connected_components(joined), "clusters")
-    return stars, clusters
+    return stars, materialize(connected_components(stars.select("src", "dst").union(across)), "clusters")
 
 
 def _wide_links(members: DataFrame, stars: DataFrame, texts: DataFrame, width: int, num: int, den: int) -> DataFrame:
@@ -325,15 +329,16 @@ def _wide_links(members: DataFrame, stars: DataFrame, texts: DataFrame, width: i
     best = stars.join(members.select(F.col("id").alias("src")), "src").groupBy("src").agg(F.max_by("dst", F.struct("estimate", "dst")).alias("dst"))
     links = materialize(_confirmed(best, texts, width, num, den), "star-links")
     release_shuffles(members.sparkSession)
-    joined = materialize(connected_components(links), "star-components")
-    rows = materialize(_with_component(members, joined, "comp").withColumnRenamed("cluster", "g"), "wide-members")
-    several = rows.groupBy("g").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("g")
+    rows = materialize(_with_component(members, _labels(links, "link-labels"), "comp").withColumnRenamed("cluster", "g"), "wide-members")
+    several = materialize(rows.groupBy("g").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a <> b").select("g"), "open-clusters")
+    if several.isEmpty():
+        return links
     dealt = _deal(rows.join(several, "g"), num, den)
     schema = "g long, p1 string, p2 string, p string, id long, comp long"
     needed = materialize(dealt.groupBy("g", "p1", "p2").applyInArrow(lambda t: _to_confirm(t, num, den), schema), "to-confirm")
     more = needed.hint("merge").join(texts, "id").groupBy("g", "p1", "p2").applyInArrow(lambda t: _tile_links(t, width, num, den), "src long, dst long")
     out = materialize(links.union(more), "wide-links")
-    discard(texts, links, joined, rows, needed)
+    discard(texts, links, rows, several, needed)
     return out
 
 
