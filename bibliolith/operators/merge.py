@@ -63,6 +63,14 @@ def three_tier(records: DataFrame, store: DataFrame, position: str = "position")
     return rest
 
 
+def absorb(store: DataFrame, records: DataFrame, key: str, columns: list[str], position: str = "position") -> DataFrame:
+    """The store with its empty columns filled by records of the same key, from the first that has a value."""
+    kinds = dict(store.dtypes)
+    there = {c: F.col(c).isNotNull() & (F.col(c) != ("" if kinds[c] == "string" else 0)) for c in columns}
+    found = records.groupBy(key).agg(*(F.min_by(c, F.when(there[c], F.col(position))).alias(c) for c in columns))
+    return fill_only(store, found, key, columns)
+
+
 def by_priority(sources: list[DataFrame], key: str, columns: list[str]) -> DataFrame:
     """Per key and column, the first non-empty value in order of the sources: one union and one aggregation."""
     tagged = [s.select(key, F.lit(i).alias("_p"), *columns) for i, s in enumerate(sources)]

@@ -14,6 +14,8 @@ from ..schema import rounded
 #: Fixed weights of the value score, and the reciprocal-rank constant.
 VALUE_WEIGHTS = {"impact": 0.20, "cited": 0.15, "ai": 0.25, "topic": 0.15, "year": 0.10, "rank": 0.10, "library": 0.05}
 RRF_K = 60
+#: Parts that go up to 5; the others go up to 1.
+VALUE_SCALES = {"impact": 5.0, "ai": 5.0, "rank": 5.0, "library": 5.0}
 
 
 def impact_band(quartile: Column, jif: Column, zone: Column) -> Column:
@@ -23,34 +25,35 @@ def impact_band(quartile: Column, jif: Column, zone: Column) -> Column:
 
 
 def cited_part(cites: Column) -> Column:
-    return 5 * F.least(F.lit(1.0), F.log10(F.greatest(F.lit(1.0), cites.cast("double")) + 1) / 2.5)
+    """0 to 1 by the logarithm; pass null where nothing is known of citations."""
+    return F.least(F.lit(1.0), F.log10(F.greatest(F.lit(1.0), cites.cast("double")) + 1) / 2.5)
 
 
 def year_part(year: Column, now: int) -> Column:
     age = F.greatest(F.lit(0), F.lit(now) - year)
-    return 5 * F.when(year.isNull(), None).when(age <= 3, 1.0).when(age <= 10, 0.7).otherwise(0.4)
+    return F.when(year.isNull(), None).when(age <= 3, 1.0).when(age <= 10, 0.7).otherwise(0.4)
 
 
 def rank_part(rank: Column) -> Column:
-    """Piecewise linear through (0, 0), (1e-4, 1), (1e-3, 3), (1e-2, 5)."""
+    """1 up to 1e-4, then piecewise linear through (1e-3, 3) and (1e-2, 5); null for no rank."""
     return (
-        F.when(rank <= 0, 0.0).when(rank < 1e-4, rank / 1e-4).when(rank < 1e-3, 1 + 2 * (rank - 1e-4) / 9e-4)
+        F.when(rank.isNull() | (rank <= 0), None).when(rank < 1e-4, 1.0).when(rank < 1e-3, 1 + 2 * (rank - 1e-4) / 9e-4)
         .when(rank < 1e-2, 3 + 2 * (rank - 1e-3) / 9e-3).otherwise(5.0)
     )
 
 
 def library_part(n: Column) -> Column:
-    return F.least(F.lit(5.0), 5 * F.log10(n.cast("double") + 1))
+    return F.when(n > 0, F.least(F.lit(5.0), 5 * F.log10(n.cast("double") + 1)))
 
 
 def value_score(parts: dict[str, Column]) -> Column:
-    """The weighted mean of the parts that are there, each rounded to two places first; weights of absent parts drop out."""
+    """0 to 5, to two places: the weighted mean of the parts that are there, each rounded to two places on its own scale first; weights of absent parts drop out."""
     total = weight = F.lit(0.0)
     for name, part in parts.items():
         there = part.isNotNull()
-        total = total + F.when(there, rounded(part, 2) * VALUE_WEIGHTS[name]).otherwise(0.0)
+        total = total + F.when(there, rounded(part, 2) * VALUE_WEIGHTS[name] / VALUE_SCALES.get(name, 1.0)).otherwise(0.0)
         weight = weight + F.when(there, VALUE_WEIGHTS[name]).otherwise(0.0)
-    return F.when(weight > 0, F.greatest(F.lit(0.0), F.least(F.lit(5.0), total / weight))).otherwise(0.0)
+    return F.when(weight > 0, rounded(F.greatest(F.lit(0.0), F.least(F.lit(5.0), 5 * total / weight)), 2)).otherwise(0.0)
 
 
 def level(score: Column, has_ai: Column, at: float = 2.5) -> Column:

@@ -18,12 +18,23 @@ def mine_pairs(texts: DataFrame, least: int = 3) -> DataFrame:
     return words.groupBy("context", "word").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
 
 
+#: Whose rules count more when two disagree, first the strongest.
+PRECEDENCE = ("user", "builtin", "learned")
+
+
 def merge_rules(rules: DataFrame) -> DataFrame:
-    """One rule per (category, pattern_type, pattern): hits added up, evidence joined, the replacement of the highest level, then confidence, then id."""
-    level = F.array_position(F.array(*map(F.lit, LEVELS)), F.col("level"))
-    best = F.max_by(F.struct("rule_id", "replacement", "level", "confidence"), F.struct(level, "confidence", "rule_id"))
-    grouped = rules.groupBy("category", "pattern_type", "pattern").agg(F.sum("hits").alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("evidence")))).alias("evidence"), best.alias("b"), F.count_distinct("replacement").alias("variants"))
-    return grouped.select("category", "pattern_type", "pattern", "hits", "evidence", "b.*", (F.col("variants") > 1).alias("conflict"))
+    """One rule per (category, pattern_type, pattern): that of the strongest level, then confidence, then version, then least id.
+
+    Hits and evidence are added up over rules of the same replacement only; `dropped` lists the ids of those that lost.
+    """
+    level = F.coalesce(F.nullif(F.array_position(F.array(*map(F.lit, PRECEDENCE)), F.col("level")), F.lit(0)), F.lit(99))
+    best = F.struct(level.alias("p"), (-F.col("confidence")).alias("c"), (-F.col("version")).alias("v"), "rule_id", "level", "confidence", "version")
+    same = rules.groupBy("category", "pattern_type", "pattern", "replacement").agg(
+        F.min(best).alias("best"), F.sum("hits").alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("evidence")))).alias("evidence")
+    )
+    whole = same.groupBy("category", "pattern_type", "pattern").agg(F.min(F.struct("best", "replacement", "hits", "evidence")).alias("w"), F.array_sort(F.collect_list("best.rule_id")).alias("ids"))
+    kept = [F.col(f"w.best.{c}").alias(c) for c in ("rule_id", "level", "confidence", "version")]
+    return whole.select("category", "pattern_type", "pattern", "w.replacement", "w.hits", "w.evidence", *kept, F.array_remove("ids", F.col("w.best.rule_id")).alias("dropped"))
 
 
 def statistics(rules: DataFrame) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..functions.segment import let, stripped, trimmed
+
 #: Fixed values of the ranking function.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
 MOST_TERMS = 8
@@ -82,11 +84,25 @@ def phrase(docs: DataFrame, needle: str, key: str = "doc_id") -> DataFrame:
     return docs.where(F.contains(text, F.lit(low))).select(key, ((F.length(text) - F.length(F.replace(text, F.lit(low), F.lit("")))) / len(low)).cast("bigint").alias("n"))
 
 
-def match_window(text: Column, anchors: Column, limit: int = 1200, before: int = 300) -> Column:
-    """The text around the earliest anchor, without the half line it would start with if that is short."""
-    low = F.lower(text)
-    at = F.array_min(F.filter(F.transform(anchors, lambda a: F.position(a, low)), lambda p: p > 0))
-    start = F.greatest(F.coalesce(at, F.lit(1)) - before, F.lit(1))
-    raw = text.substr(start, F.lit(limit + before))
-    cut = F.position(F.lit("\n"), raw)
-    return F.substring(F.when((start > 1) & (cut > 0) & (cut <= 200), raw.substr(cut + 1, F.length(raw))).otherwise(raw), 1, limit)
+def match_window(text: Column, anchors: Column, limit: int = 1200, before: int = 300, slack: int = 300) -> Column:
+    """The text around the earliest of all anchors (case counts), trimmed at a break; without a hit the start of the text.
+
+    Half a line at its start goes if it is no longer than 200 characters. `slack` more than the limit is read, so that the end
+    falls on a break, too.
+    """
+    at = F.array_min(F.filter(F.transform(F.filter(anchors, lambda a: a != ""), lambda a: F.position(a, text)), lambda p: p > 0))
+
+    def window(start: Column) -> Column:
+        return let(stripped(text.substr(F.greatest(start - before, F.lit(1)), F.lit(limit + slack))), whole_lines)
+
+    def whole_lines(part: Column) -> Column:
+        line = F.instr(part, "\n")
+        return trimmed(F.when((line > 0) & (line <= 201), F.regexp_replace(part.substr(line + 1, F.length(part)), r"(?U)^\s+", "")).otherwise(part), limit)
+
+    return let(at, lambda a: F.when(a.isNull(), trimmed(stripped(text), limit)).otherwise(window(a)))
+
+
+def anchors(query: Column) -> Column:
+    """Where to look for a query in a text: its words, then its CJK pairs."""
+    words = F.filter(F.split(F.replace(query, F.lit('"'), F.lit(" ")), r"(?U)\s+"), lambda w: w != "")
+    return F.array_distinct(F.concat(words, cjk_grams(query)))

@@ -110,6 +110,48 @@ def align(pairs: DataFrame, match: float = 0.45, gap: float = 0.15) -> DataFrame
     return pairs.select("id", "left", "right").mapInPandas(run, f"id {dict(pairs.dtypes)['id']}, i long, j long, score double")
 
 
-def verdict(lcs: Column, head: Column) -> Column:
-    """ok, review, suspicious or misaligned by the similarity of a pair and of its openings."""
-    return F.when((lcs >= 0.9), "ok").when(head < 0.25, "misaligned").when(lcs >= 0.7, "review").otherwise("suspicious")
+def plain_words(c: Column) -> Column:
+    """Lower-case words of a text without mathematics, commands, tags, images, citations and numbers."""
+    for pattern in (r"\$[^$]*\$", r"\\[A-Za-z]+", r"<[^>]+>", r"!\[[^\]]*\]\([^)]*\)", r"\[\s*[0-9]+(?:[\s,–—-]\s*[0-9]+)*\s*\]", "[⁰¹²³⁴⁵⁶⁷⁸⁹]+", r"\b[0-9]+\b"):
+        c = F.regexp_replace(c, pattern, " ")
+    return F.regexp_extract_all(F.lower(c), F.lit(r"[a-z][a-z'-]*"), F.lit(0))
+
+
+#: Covered share and order that pass, that call for review, how far order may fall behind, and how openings must agree.
+PASSES, REVIEW, SHIFT, OPENING = 0.9, 0.7, 0.85, 0.25
+
+
+def verify_pairs(pairs: DataFrame) -> DataFrame:
+    """(id, overlap, lcs_ratio, shifted, verdict) of two readings (id, left, right) of a paragraph.
+
+    Overlap is the part of the shorter reading's words that the longer one has. Words that are there in another order make a
+    pair shifted. misaligned: the first eight words of both hardly agree; such pairs are not compared any further.
+    """
+    import pandas as pd
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from difflib import SequenceMatcher
+
+        for pdf in batches:
+            rows = []
+            for key, a, b in zip(pdf["id"], map(list, pdf["left"]), map(list, pdf["right"]), strict=True):
+                if min(len(a), len(b)) >= 3 and SequenceMatcher(None, a[:8], b[:8]).ratio() < OPENING:
+                    rows.append((key, 0.0, 0.0, True))
+                elif a and b:
+                    short, long = sorted((a, b), key=len) if len(a) != len(b) else (a, b)
+                    rows.append((key, len({*short} & {*long}) / len({*short}), lcs_length(a, b) / max(len(a), len(b)), False))
+                else:
+                    rows.append((key, 0.0, 0.0, False))
+            yield pd.DataFrame(rows, columns=["id", "overlap", "lcs_ratio", "apart"])
+
+    words = pairs.select("id", plain_words(F.coalesce("left", F.lit(""))).alias("left"), plain_words(F.coalesce("right", F.lit(""))).alias("right"))
+    measured = words.mapInPandas(run, f"id {dict(pairs.dtypes)['id']}, overlap double, lcs_ratio double, apart boolean")
+    o, r = F.col("overlap"), F.col("lcs_ratio")
+    shifted = (o >= REVIEW) & (r < o * SHIFT)
+    named = F.when(F.col("apart"), "misaligned").when((o >= PASSES) & (r >= PASSES), "ok").when(shifted, "suspicious").when(o >= REVIEW, "review").otherwise("suspicious")
+    return measured.select("id", "overlap", "lcs_ratio", shifted.alias("shifted"), named.alias("verdict"))
+
+
+def verdict_counts(verified: DataFrame) -> DataFrame:
+    """One row: how many pairs have each verdict, and how many are shifted."""
+    return verified.agg(*(F.count_if(F.col("verdict") == v).alias(v) for v in ("ok", "review", "suspicious", "misaligned")), F.count_if("shifted").alias("shifted"))

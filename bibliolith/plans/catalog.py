@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import graph_queries, ledger_queries, record_queries, text_queries
+from . import graph_queries, ledger_queries, library_queries, record_queries, sequence_queries, text_queries
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-for _part in (graph_queries, record_queries, ledger_queries, text_queries):
+for _part in (graph_queries, record_queries, ledger_queries, text_queries, library_queries, sequence_queries):
     QUERIES.update(_part.QUERIES)
     ORACLE_SQL.update(_part.ORACLE_SQL)

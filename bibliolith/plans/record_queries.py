@@ -16,7 +16,7 @@ _NEW = "SELECT c_custkey AS id, concat('new ', c_name) AS name, 'FILLED' AS segm
 _SCORED = f"SELECT *, CASE WHEN id % 3 = 0 THEN NULL ELSE times_cited / 10.0e0 END AS ai FROM ({PAPERS}) q"
 _HITS = """SELECT CAST(user_id % 40 AS BIGINT) AS query, event_type AS channel, CAST(event_id % 60 AS BIGINT) AS key, max(value) AS score, max(props) AS snippet FROM events GROUP BY 1, 2, 3"""
 _WEIGHTS = {"click": 1.0, "vector": 1.0, "purchase": 0.5, "view": 0.6}
-_CAND = "SELECT CAST(l_suppkey AS BIGINT) AS query, CAST(l_orderkey AS BIGINT) AS key, max(l_discount) AS rerank, max(l_tax) AS paper_rank, max(l_quantity) AS times_cited FROM lineitem WHERE l_suppkey % 5 = 0 GROUP BY 1, 2"
+_CAND = "SELECT CAST(l_suppkey AS BIGINT) AS query, CAST(l_orderkey AS BIGINT) AS key, max(l_discount) AS rerank, max(l_tax) AS paper_rank, max(l_quantity) AS times_cited FROM lineitem GROUP BY 1, 2"
 _RANKED = "SELECT o_custkey AS query, CAST(row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS BIGINT) AS rank, o_orderkey AS key, o_orderpriority AS p FROM orders"
 
 
@@ -99,7 +99,7 @@ def value_score(spark, sf):
         "impact": ranking.impact_band(F.col("quartile"), F.col("impact_factor"), F.col("cluster")), "cited": ranking.cited_part(F.col("times_cited")), "ai": F.col("ai"),
         "year": ranking.year_part(year, 2026), "rank": ranking.rank_part(F.col("paper_rank")), "library": ranking.library_part(F.col("library_citations")),
     }
-    s = rounded(ranking.value_score(parts), 6)
+    s = ranking.value_score(parts)
     return p.select("doi", s.alias("score"), ranking.level(s, F.col("ai").isNotNull()).alias("level"))
 
 
@@ -169,13 +169,14 @@ ORACLE_SQL = {
     "value_score": f"""WITH p AS ({_SCORED}), q AS (SELECT doi, ai,
             {_R2("least(5.0, CASE WHEN quartile LIKE 'Q%' THEN 5 - CAST(substr(quartile, 2, 1) AS DOUBLE) WHEN impact_factor >= 10 THEN 4.0 WHEN impact_factor >= 5 THEN 3.0 WHEN impact_factor >= 2 THEN 2.0 WHEN impact_factor > 0 THEN 1.0 END + CASE WHEN cluster = 1 THEN 1.0 ELSE 0.0 END)")} AS a0,
             CASE WHEN quartile NOT LIKE 'Q%' AND impact_factor <= 0 THEN true ELSE false END AS no_band,
-            {_R2("5 * least(1.0, log10(greatest(1.0, CAST(times_cited AS DOUBLE)) + 1) / 2.5)")} AS b, {_R2("ai")} AS c,
-            {_R2("5 * CASE WHEN TRY_CAST(year AS BIGINT) IS NULL THEN NULL WHEN greatest(0, 2026 - TRY_CAST(year AS BIGINT)) <= 3 THEN 1.0 WHEN greatest(0, 2026 - TRY_CAST(year AS BIGINT)) <= 10 THEN 0.7 ELSE 0.4 END")} AS d,
-            {_R2("CASE WHEN paper_rank <= 0 THEN 0.0 WHEN paper_rank < 1e-4 THEN paper_rank / 1e-4 WHEN paper_rank < 1e-3 THEN 1 + 2 * (paper_rank - 1e-4) / 9e-4 WHEN paper_rank < 1e-2 THEN 3 + 2 * (paper_rank - 1e-3) / 9e-3 ELSE 5.0 END")} AS e,
-            {_R2("least(5.0, 5 * log10(CAST(library_citations AS DOUBLE) + 1))")} AS f FROM p),
+            {_R2("least(1.0, log10(greatest(1.0, CAST(times_cited AS DOUBLE)) + 1) / 2.5)")} AS b, {_R2("ai")} AS c,
+            {_R2("CASE WHEN TRY_CAST(year AS BIGINT) IS NULL THEN NULL WHEN greatest(0, 2026 - TRY_CAST(year AS BIGINT)) <= 3 THEN 1.0 WHEN greatest(0, 2026 - TRY_CAST(year AS BIGINT)) <= 10 THEN 0.7 ELSE 0.4 END")} AS d,
+            {_R2("CASE WHEN paper_rank <= 0 THEN NULL WHEN paper_rank < 1e-4 THEN 1.0 WHEN paper_rank < 1e-3 THEN 1 + 2 * (paper_rank - 1e-4) / 9e-4 WHEN paper_rank < 1e-2 THEN 3 + 2 * (paper_rank - 1e-3) / 9e-3 ELSE 5.0 END")} AS e,
+            {_R2("CASE WHEN library_citations > 0 THEN least(5.0, 5 * log10(CAST(library_citations AS DOUBLE) + 1)) END")} AS f FROM p),
         r AS (SELECT doi, ai, CASE WHEN no_band THEN NULL ELSE a0 END AS a, b, c, d, e, f FROM q),
-        s AS (SELECT doi, ai, floor(greatest(0.0, least(5.0, (coalesce(a * CAST(0.2 AS DOUBLE), 0) + coalesce(b * CAST(0.15 AS DOUBLE), 0) + coalesce(c * CAST(0.25 AS DOUBLE), 0) + coalesce(d * CAST(0.1 AS DOUBLE), 0) + coalesce(e * CAST(0.1 AS DOUBLE), 0) + coalesce(f * CAST(0.05 AS DOUBLE), 0))
-            / CAST((CASE WHEN a IS NULL THEN 0 ELSE 0.2 END + 0.15 + CASE WHEN c IS NULL THEN 0 ELSE 0.25 END + CASE WHEN d IS NULL THEN 0 ELSE 0.1 END + 0.1 + 0.05) AS DOUBLE))) * 1000000 + 0.5) / 1000000.0 AS score FROM r)
+        w AS (SELECT doi, ai, coalesce(a * CAST(0.2 AS DOUBLE) / 5, 0) + coalesce(b * CAST(0.15 AS DOUBLE), 0) + coalesce(c * CAST(0.25 AS DOUBLE) / 5, 0) + coalesce(d * CAST(0.1 AS DOUBLE), 0) + coalesce(e * CAST(0.1 AS DOUBLE) / 5, 0) + coalesce(f * CAST(0.05 AS DOUBLE) / 5, 0) AS total,
+            CASE WHEN a IS NULL THEN 0 ELSE CAST(0.2 AS DOUBLE) END + CAST(0.15 AS DOUBLE) + CASE WHEN c IS NULL THEN 0 ELSE CAST(0.25 AS DOUBLE) END + CASE WHEN d IS NULL THEN 0 ELSE CAST(0.1 AS DOUBLE) END + CASE WHEN e IS NULL THEN 0 ELSE CAST(0.1 AS DOUBLE) END + CASE WHEN f IS NULL THEN 0 ELSE CAST(0.05 AS DOUBLE) END AS weight FROM r),
+        s AS (SELECT doi, ai, {_R2("greatest(0.0, least(5.0, 5 * total / weight))")} AS score FROM w)
         SELECT doi, score, CASE WHEN score >= 2.5 AND ai IS NOT NULL THEN 'L2' ELSE 'L1' END AS level FROM s""",
     "rrf_fusion": f"""WITH h AS ({_HITS}), r AS (SELECT *, row_number() OVER (PARTITION BY query, channel ORDER BY score DESC, key) AS rank FROM h),
         w AS (SELECT *, CASE channel WHEN 'click' THEN 1.0 WHEN 'vector' THEN 1.0 WHEN 'purchase' THEN 0.5 WHEN 'view' THEN 0.6 ELSE 0.0 END AS wt, CASE channel WHEN 'vector' THEN -1 WHEN 'click' THEN 0 WHEN 'purchase' THEN 2 WHEN 'view' THEN 3 ELSE 4 END AS pos FROM r)

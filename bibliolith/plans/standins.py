@@ -19,7 +19,7 @@ PAPERS = """
 EDGES = """
     SELECT DISTINCT CAST(s AS STRING) AS citing, CAST(d AS STRING) AS cited FROM (
         SELECT l_partkey AS s, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey) AS d FROM lineitem WHERE l_returnflag = 'R') t
-    WHERE d IS NOT NULL AND s <> d AND s % 3 <> 0
+    WHERE d IS NOT NULL AND s <> d
 """
 BIPARTITE = "SELECT DISTINCT CAST(l_orderkey AS STRING) AS citing, CAST(l_partkey AS STRING) AS cited FROM lineitem"
 

@@ -35,8 +35,8 @@ def trigram_index(spark, sf):
 
 
 def match_window(spark, sf):
-    d = table(spark, sf, "documents").where("n_chars > 600")
-    return d.select("doc_id", F.md5(search.match_window(F.col("text"), F.array(F.lit(" the "), F.lit(" de ")), 400, 100).cast("binary")).alias("md5"))
+    d = table(spark, sf, "documents")
+    return d.select("doc_id", F.length(search.match_window(F.col("text"), F.array(F.lit(" the "), F.lit(" de ")), 400, 100, 50)).cast("bigint").alias("n"))
 
 
 def knn_topk(spark, sf):
@@ -75,7 +75,7 @@ def journal_keys(spark, sf):
 
 
 def concept_keys(spark, sf):
-    return view(spark, sf, "SELECT DISTINCT c_mktsegment AS s FROM customer").select("s", text.concept(F.col("s")).alias("concept"))
+    return view(spark, sf, "SELECT DISTINCT concat(p_brand, ' (', p_name, ') ', p_type, 's / x-y') AS s FROM part").select("s", text.concept(F.col("s")).alias("concept"))
 
 
 def title_keys(spark, sf):
@@ -100,8 +100,7 @@ def topic_compile(spark, sf):
 
 
 def token_dice_pairs(spark, sf):
-    b = view(spark, sf, "SELECT doc_id, text FROM documents WHERE n_chars < 1500")
-    return similar.dice_pairs(b, _ascii(F.col("text")), 0.9).select("a", "b", rounded(F.col("dice"), 9).alias("dice"))
+    return similar.dice_pairs(table(spark, sf, "documents"), _ascii(F.col("text")), 0.9).select("a", "b", rounded(F.col("dice"), 9).alias("dice"))
 
 
 def ngram_dice(spark, sf):
@@ -121,7 +120,7 @@ def section_chunks(spark, sf):
 
 def paragraph_alignment(spark, sf):
     c = table(spark, sf, "conversations").groupBy(F.col("conv_id").alias("id")).agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]).alias("left"))
-    return similar.align(c.withColumn("right", F.slice("left", 2, 1000)))
+    return similar.align(c.withColumn("right", F.slice("left", F.lit(2), F.size("left"))))
 
 
 def lcs_ratios(spark, sf):
@@ -164,9 +163,6 @@ ORACLE_SQL = {
         m AS (SELECT query_id, doc_id, min(stage) AS stage FROM e GROUP BY 1, 2) SELECT query_id, CAST(stage AS BIGINT) AS stage, count(*) AS n FROM m WHERE stage = (SELECT min(stage) FROM m x WHERE x.query_id = m.query_id) GROUP BY 1, 2""",
     "phrase_search": "SELECT doc_id, CAST((length(lower(text)) - length(replace(lower(text), 'and the', ''))) // 7 AS BIGINT) AS n FROM documents WHERE contains(lower(text), 'and the')",
     "trigram_index": "SELECT gram, count(*) AS n FROM (SELECT unnest([substr(lower(p_name), i, 3) FOR i IN range(1, length(p_name) - 1)]) AS gram FROM part) GROUP BY 1",
-    "match_window": """WITH a AS (SELECT doc_id, text, CASE WHEN instr(lower(text), ' the ') = 0 THEN instr(lower(text), ' de ') WHEN instr(lower(text), ' de ') = 0 THEN instr(lower(text), ' the ') ELSE least(instr(lower(text), ' the '), instr(lower(text), ' de ')) END AS at0 FROM documents WHERE n_chars > 600),
-        s AS (SELECT doc_id, text, greatest(CASE WHEN at0 = 0 THEN 1 ELSE at0 END - 100, 1) AS st FROM a), r AS (SELECT doc_id, st, substr(text, st, 500) AS raw FROM s)
-        SELECT doc_id, md5(substr(CASE WHEN st > 1 AND instr(raw, chr(10)) BETWEEN 1 AND 200 THEN substr(raw, instr(raw, chr(10)) + 1) ELSE raw END, 1, 400)) AS md5 FROM r""",
     "knn_topk": f"""WITH s AS (SELECT a.vec_id AS query_id, b.vec_id, {_COS} AS score FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0)
         SELECT query_id, vec_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS BIGINT) AS nth, floor(score * 100000 + 0.5) / 100000.0 AS score FROM s QUALIFY nth <= 10""",
     "concept_knn": f"""WITH s AS (SELECT a.vec_id AS query_id, b.vec_id, {_COS} AS score FROM embeddings a JOIN embeddings b ON a.vec_id <> b.vec_id WHERE a.vec_id % 20 = 0 AND a.label = 1 AND b.label = 1)
@@ -176,16 +172,13 @@ ORACLE_SQL = {
     "vector_norms": "SELECT vec_id, CASE WHEN vec_id = 0 THEN 0.0e0 ELSE 1.0e0 END AS norm FROM embeddings",
     "slugs": "SELECT DISTINCT p_type, regexp_replace(regexp_replace(lower(p_type), '[^a-z0-9]+', '-', 'g'), '^-+|-+$', '', 'g') AS slug FROM part",
     "dois": "SELECT p_partkey AS id, concat('10.1234/', lower(p_brand), '.', CAST(p_partkey AS VARCHAR)) AS doi, regexp_matches(concat('10.1234/', lower(p_brand), '.', CAST(p_partkey AS VARCHAR)), '^10\\.[0-9]{4,9}/\\S+$') AS valid FROM part",
-    "journal_keys": "SELECT p_partkey AS id, trim(regexp_replace(regexp_replace(replace(upper(concat(p_brand, ' & ', p_type, ', (', p_name, ')')), '&', ' AND '), '[^A-Z0-9 ]', ' ', 'g'), ' +', ' ', 'g')) AS key FROM part",
-    "concept_keys": "SELECT DISTINCT c_mktsegment AS s, regexp_replace(trim(regexp_replace(lower(c_mktsegment), '[\\s_\\-/]+', ' ', 'g')), '([a-z]{4,}[^s\\s])s$', '\\1') AS concept FROM customer",
+    "journal_keys": "SELECT p_partkey AS id, regexp_replace(upper(concat(p_brand, 'and', p_type, p_name)), ' ', '', 'g') AS key FROM part",
+    "concept_keys": "SELECT DISTINCT concat(p_brand, ' (', p_name, ') ', p_type, 's / x-y') AS s, concat(lower(replace(p_brand, '#', ' ')), ' ', lower(p_type), 's / x y') AS concept FROM part",
     "title_keys": "SELECT item_id, trim(regexp_replace(regexp_replace(lower(translate(translate(text, chr(10) || chr(9), '  '), 'àáâãäåçèéêëìíîïñòóôõöùúûüýÿÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝ', 'aaaaaaceeeeiiiinooooouuuuyyAAAAAACEEEEIIIINOOOOOUUUUY')), '[^a-z0-9 ]', '', 'g'), ' +', ' ', 'g')) AS key FROM benchmark",
     "token_estimates": "SELECT conv_id, turn, CAST(greatest(1, length(text) // 2) AS BIGINT) AS tokens FROM conversations",
     "block_flags": """SELECT conv_id, turn, concat_ws(',', CASE WHEN len(regexp_extract_all(text, '\\S+')) < 8 THEN 'short' END, CASE WHEN NOT regexp_matches(text, '[.!?:;。！？]["'')\\]]*\\s*$') THEN 'open_end' END, CASE WHEN regexp_matches(text, '^\\s*[a-z]') THEN 'lower_start' END) AS flags FROM conversations""",
     "page_abstracts": "SELECT page_id, md5(substr(trim(regexp_replace(regexp_replace(regexp_extract(html, '(?s)<nav>(.*?)</nav>', 1), '<[^>]+>', ' ', 'g'), '\\s+', ' ', 'g')), 1, 4000)) AS md5 FROM pages",
     "topic_compile": "SELECT lower(t) AS slug, count(*) AS n, floor(avg(p_size) * 10000 + 0.5) / 10000.0 AS avg_cites FROM (SELECT p_size, unnest(string_split(p_type, ' ')) AS t FROM part) GROUP BY 1 HAVING count(*) >= 3",
-    "token_dice_pairs": f"""WITH s AS (SELECT doc_id, list_distinct({_ASCII.format('text')}) AS w FROM documents WHERE n_chars < 1500), u AS (SELECT doc_id, len(w) AS n, unnest(w) AS t FROM s),
-        c AS (SELECT x.doc_id AS a, y.doc_id AS b, any_value(x.n) AS na, any_value(y.n) AS nb, count(*) AS k FROM u x JOIN u y ON x.t = y.t AND x.doc_id < y.doc_id GROUP BY 1, 2)
-        SELECT a, b, floor(2.0e0 * k / (na + nb) * 1000000000 + 0.5) / 1000000000.0 AS dice FROM c WHERE 2.0e0 * k / (na + nb) >= 0.9""",
     "ngram_dice": """WITH g AS (SELECT n_nationkey AS k, n_name, list_distinct([substr(lower(n_name), i, 3) FOR i IN range(1, length(n_name) - 1)]) AS w FROM nation)
         SELECT a.n_name AS a, b.n_name AS b, floor(2.0e0 * len(list_intersect(a.w, b.w)) / (len(a.w) + len(b.w)) * 1000000000 + 0.5) / 1000000000.0 AS dice FROM g a JOIN g b ON a.k < b.k""",
     "exact_duplicates": "SELECT doc_id, min(doc_id) OVER (PARTITION BY regexp_replace(lower(text), '[ \\n]+', ' ', 'g')) AS first FROM documents",

@@ -109,9 +109,9 @@ def test_text_functions(spark):
     assert one(text.doi(lit(" https://doi.org/10.1/AbC.. "))) == "10.1/abc"
     assert one(text.slug(lit("  A & B -- c! "))) == "a-b-c" and one(text.slug(lit("!!"))) == "unknown"
     assert one(text.journal_key(lit("J. Phys. & Chem."))) == one(text.journal_key(lit("J Phys and Chem")))
-    assert one(text.surname(lit("Doe, Jane A."))) == "doe" and one(text.initials(lit("Doe, Jane A."))) == "ja" and one(text.initials(lit("Jane A. Doe"))) == "ja"
-    names = [one(text.dirname(lit(d))) for d in ("10.1/a_s", "10.1/a/", "10.1/A_s", "10.1_a/s")]
-    assert len(set(names)) == 4 and one(text.from_dirname(lit(names[0]))) == "10.1/a_s"
+    assert one(text.surname(lit("Doe, Jane A."))) == "doe" and one(text.initials(lit("Doe, Jane A."))) == "JA" and one(text.initials(lit("Jane A. Doe"))) == "JA" and one(text.initials(lit("Doe, JA"))) == "JA"
+    names = [one(text.dirname(lit(d))) for d in ("10.1000/a_s", "10.1000/a/", "10.1000/A_s", "10.1000_a/s")]
+    assert len(set(names)) == 4 and one(text.from_dirname(lit(names[0]))) == "10.1000/a_s"
     sup = one(text.citation_superscripts(lit("x$^{1,2}$ y")))
     assert sup == "x[1,2] y" and one(text.citation_superscripts(lit(sup))) == sup
     assert one(text.latex_flags(lit(r"a $x {"))) == ["odd_dollar", "braces"]
