@@ -21,7 +21,6 @@ import numpy as np
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .common import _powers, binary_batch, discard, materialize, mix64, release_shuffles, shuffle_partitions, slices, small_batches
 
@@ -356,8 +355,10 @@ def remove_repeats(docs: DataFrame, length: int = 100, with_text: bool = False)
     firsts = materialize(sums.where(F.col("n_bytes") >= length).groupBy("sha").agg(F.min("doc_id").alias("doc_id"), F.first("print").alias("print")).select("doc_id", "print"), "first-copies")
 
     anchors = materialize(base.select(F.xxhash64("text").alias("print"), "text").mapInArrow(partial(_anchor_rows, length=length), "value long, print long, settled boolean"), "anchors")
-    by_value = Window.partitionBy("value")
-    shared = anchors.where("not settled").select("value", "print", F.min("print").over(by_value).alias("lo"), F.max("print").over(by_value).alias("hi")).where("lo <> hi")
+    # values of several texts are told by an aggregate, so no task holds all rows of a common one
+    open_ = anchors.where("not settled").select("value", "print")
+    several = open_.groupBy("value").agg(F.min("print").alias("lo"), F.max("print").alias("hi")).where("lo <> hi").select("value")
+    shared = open_.join(several.hint("merge"), "value")
     wanted = materialize(shared.select("value", "print").union(anchors.where("settled").select("value", "print")).distinct(), "wanted")
     hot = wanted.groupBy("value").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("value", F.lit(True).alias("hot"))
     hot = materialize(hot, "hot-anchors")
@@ -370,7 +371,9 @@ def remove_repeats(docs: DataFrame, length: int = 100, with_text: bool = False)
 
     stretches = looked.where("kind = 1").select(F.col("key1").alias("value"), "doc_id", "a", "bytes").repartition(shuffle_partitions(spark), "value").sortWithinPartitions("value")
     sorted_ = stretches.mapInArrow(partial(_sort_stretches, length=length), "doc_id long, a long, b long")
-    met = looked.where("kind = 2").withColumn("nth", F.row_number().over(Window.partitionBy("key1", "key2").orderBy("doc_id", "a"))).where("nth > 1").select("doc_id", "a", "b")
+    met = looked.where("kind = 2").select("key1", "key2", "doc_id", "a", "b")
+    firsts_met = met.groupBy("key1", "key2").agg(F.min(F.struct("doc_id", "a")).alias("first"))
+    met = met.join(firsts_met, ["key1", "key2"]).where(F.struct("doc_id", "a") != F.col("first")).select("doc_id", "a", "b")
     gone = materialize(looked.where("kind = 0").select("doc_id", "a", "b").union(sorted_).union(met), "repeats")
     discard(looked)
     release_shuffles(spark)
