@@ -5,7 +5,6 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..scratch import discard, materialize, release_shuffles, scratch_dir, shuffle_partitions  # noqa: F401
@@ -92,7 +91,3 @@ def binary_batch(column) -> tuple[np.ndarray, np.ndarray]:
     raw = column.buffers()[2]
     data = np.frombuffer(raw, np.uint8)[offsets[0] : offsets[-1]] if raw is not None and len(offsets) else np.zeros(0, np.uint8)
     return data, offsets - (offsets[0] if len(offsets) else 0)
-
-
-def with_types(**kinds: T.DataType) -> T.StructType:
-    return T.StructType([T.StructField(k, v) for k, v in kinds.items()])
