@@ -164,14 +164,15 @@ def paper_rank(papers: DataFrame, edges: DataFrame, damping: float = 0.85, max_r
     nodes = materialize(nodes, "rank-degrees")
     links = materialize(inner, "rank-edges")
     state = materialize(nodes.withColumn("rank", F.lit(1.0 / n)), "ranks")
+    dangling = state.where("out_degree = 0").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
     for _ in range(rounds if rounds is not None else max_rounds):
-        dangling = state.where("out_degree = 0").agg(F.coalesce(F.sum("rank"), F.lit(0.0))).first()[0]
         given = links.join(state.select(F.col("doi").alias("citing"), F.try_divide("rank", "out_degree").alias("share")), "citing").groupBy(F.col("cited").alias("doi")).agg(F.sum("share").alias("got"))
         fixed = (1 - damping) / n + damping * dangling / n
         after = state.select("doi", "in_degree", "out_degree", F.col("rank").alias("old")).join(given, "doi", "left").withColumn("rank", F.lit(fixed) + damping * F.coalesce("got", F.lit(0.0)))
         after = materialize(after.select("doi", "in_degree", "out_degree", "rank", F.abs(F.col("rank") - F.col("old")).alias("moved")), "ranks")
         discard(state)
         state = after
-        if rounds is None and state.agg(F.sum("moved")).first()[0] < tolerance:
+        moved, dangling = state.agg(F.sum("moved"), F.coalesce(F.sum(F.when(F.col("out_degree") == 0, F.col("rank"))), F.lit(0.0))).first()
+        if rounds is None and moved < tolerance:
             break
     return state.select("doi", "rank", "in_degree", "out_degree")

@@ -9,9 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The shared folder for intermediate tables: `spark.checkpoint.dir`, or one of our own where it is unset (tests)."""
+    """The shared folder for intermediate tables: `spark.checkpoint.dir`. Where it is unset, a session in one process gets a folder of its own, a cluster an error."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="bibliolith-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
