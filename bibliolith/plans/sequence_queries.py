@@ -77,7 +77,7 @@ def near_paragraphs(spark, sf):
 
 def layer_audit(spark, sf):
     a = audit.text_layer_audit(view(spark, sf, _LAYER).withColumn("text", F.translate("text", "$", "")).withColumn("page_text", F.translate("page_text", "$", "")))
-    return a.select("doc_id", "judged", "out_ctrl", "out_hole", "out_alnum", "out_sup_word", "page_ctrl", "page_fffd")
+    return a.select("doc_id", "judged", "out_ctrl", "out_hole", "out_sup_word", "page_ctrl", "page_fffd")
 
 
 def layer_probe(spark, sf):
@@ -222,6 +222,7 @@ QUERIES = {
 
 _STOP = ", ".join(f"'{w}'" for w in text.STOP_WORDS)
 _HIDDEN = ", ".join(f"'{w}'" for w in text.HIDDEN_WORDS)
+_CTRL = "[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f-\\x9f]"
 _BREAKS = ["chr(10) || chr(10)", "chr(10)", "'。'", "'！'", "'？'", "'；'", "'. '", "'! '", "'? '", "'; '", "'，'", "', '", "' '"]
 _ENDS = ", ".join(f"CASE WHEN contains(h, {b}) THEN length(h) - strpos(reverse(h), reverse({b})) + 1 ELSE 0 END" for b in _BREAKS)
 ORACLE_SQL = {
@@ -238,8 +239,8 @@ ORACLE_SQL = {
     "covered_ranges": """WITH a AS (SELECT o_custkey AS id, o_orderkey AS p, o_orderkey % 1000 AS f FROM orders WHERE o_orderstatus = 'F'), b AS (SELECT o_custkey AS id, o_orderkey AS q, o_orderkey % 1000 AS f FROM orders WHERE o_orderstatus <> 'F')
         SELECT a.id, p AS paragraph, string_agg(CAST(q AS VARCHAR), ',' ORDER BY q) AS others FROM a JOIN b ON a.id = b.id AND a.f <= b.f + 90 AND b.f <= a.f + 40 GROUP BY 1, 2 HAVING count(*) > 1""",
     "layer_audit": f"""WITH l AS (SELECT doc_id, replace(text, '$', '') AS t, replace(page_text, '$', '') AS p FROM ({_LAYER})), j AS (SELECT *, trim(coalesce(t, '')) <> '' AND trim(coalesce(p, '')) <> '' AS judged FROM l)
-        SELECT doc_id, judged, CAST(CASE WHEN judged AND doc_id % 5 = 0 THEN 1 ELSE 0 END AS BIGINT) AS out_ctrl, CAST(CASE WHEN judged THEN len(regexp_extract_all(t, '[0-9][ \\t]{{1,3}}')) - len(regexp_extract_all(t, '[0-9][ \\t]{{1,3}}([^0-9 \\t]|[ \\t]|$)')) ELSE 0 END AS BIGINT) AS out_hole,
-        CAST(0 AS BIGINT) AS out_alnum, CAST(CASE WHEN judged THEN len(regexp_extract_all(t, '<sup>[A-Za-z]{{2,}}</sup>')) ELSE 0 END AS BIGINT) AS out_sup_word, CAST(0 AS BIGINT) AS page_ctrl, CAST(CASE WHEN judged AND doc_id % 4 = 1 THEN 1 ELSE 0 END AS BIGINT) AS page_fffd FROM j""",
+        SELECT doc_id, judged, CAST(CASE WHEN judged THEN len(regexp_extract_all(t, '{_CTRL}')) ELSE 0 END AS BIGINT) AS out_ctrl, CAST(CASE WHEN judged THEN len(regexp_extract_all(t, '[0-9][ \\t]{{1,3}}')) - len(regexp_extract_all(t, '[0-9][ \\t]{{1,3}}([^0-9 \\t]|[ \\t]|$)')) ELSE 0 END AS BIGINT) AS out_hole,
+        CAST(CASE WHEN judged THEN len(regexp_extract_all(t, '<sup>[A-Za-z]{{2,}}</sup>')) ELSE 0 END AS BIGINT) AS out_sup_word, CAST(CASE WHEN judged THEN len(regexp_extract_all(p, '{_CTRL}')) ELSE 0 END AS BIGINT) AS page_ctrl, CAST(CASE WHEN judged AND doc_id % 4 = 1 THEN 1 ELSE 0 END AS BIGINT) AS page_fffd FROM j""",
     "majority_votes": "SELECT k, first(v ORDER BY n DESC, v) AS v, max(n) AS n FROM (SELECT l_orderkey AS k, l_suppkey % 7 AS v, count(*) AS n FROM lineitem GROUP BY 1, 2) GROUP BY 1",
     "multiset_mismatch": "SELECT k, CAST(sum(abs(a - b)) AS BIGINT) AS mismatch FROM (SELECT l_suppkey AS k, l_suppkey % 7, count(*) FILTER (l_returnflag = 'R') AS a, count(*) FILTER (l_returnflag = 'A') AS b FROM lineitem WHERE l_returnflag IN ('R', 'A') GROUP BY 1, 2) GROUP BY 1",
     "rule_evidence": f"""WITH g AS (SELECT category, pattern_type, pattern, replacement, count(*) FILTER (pattern_type <> 'dict' OR before = pattern) AS f, count(*) FILTER (pattern_type = 'dict' AND before = replacement) AS b, count(DISTINCT paper) AS papers FROM ({_EVIDENCE}) GROUP BY 1, 2, 3, 4), r AS (SELECT *, greatest(f, b) * 1.0e0 / (f + b) AS ratio FROM g)
