@@ -176,3 +176,39 @@ def paper_rank(papers: DataFrame, edges: DataFrame, damping: float = 0.85, max_r
         if rounds is None and moved < tolerance:
             break
     return state.select("doi", "rank", "in_degree", "out_degree")
+
+
+#: Where the citations that a network shows come from.
+CITATION_SOURCES = {"wos": "times_cited", "library": "library_citations", "filtered": "filtered_citations"}
+
+
+def with_citations(nodes: DataFrame, source: str = "wos") -> DataFrame:
+    """Nodes with cite_count: citations as recorded, from the library, or within the network."""
+    return nodes.withColumn("cite_count", F.coalesce(CITATION_SOURCES.get(source, "filtered_citations"), F.lit(0)).cast("bigint"))
+
+
+def network_preview(papers: DataFrame, edges: DataFrame, where: NodeFilter, sort_by: str = "times_cited", limit: int = DEFAULT_NODES) -> DataFrame:
+    """One row of counts without building the network: matched papers, selected ones, and those of them that no edge at all touches."""
+    chosen = select_nodes(papers, where, sort_by, limit).select("doi")
+    n = F.count(F.lit(1))
+    out = papers.where(where.condition()).agg(n.alias("matched")).crossJoin(chosen.agg(n.alias("selected")))  # single rows
+    return out.crossJoin(chosen.join(endpoints(edges), "doi", "left_anti").agg(n.alias("isolated")))
+
+
+def top_ranked(papers: DataFrame, ranks: DataFrame, n: int) -> DataFrame:
+    """The n best ranked papers that are no references, by a table of ranks (doi, rank); papers without one come last."""
+    joined = papers.where(~F.col("is_reference")).join(ranks.select("doi", "rank"), "doi", "left")
+    return joined.orderBy(F.desc_nulls_last("rank"), "doi").limit(n)
+
+
+def topics(papers: DataFrame, least: int = 3) -> DataFrame:
+    """(slug, name, n, avg_cites, avg_rank, covered) of topics (doi, position, keywords, times_cited, paper_rank) of `least` papers or more.
+
+    Keywords that make the same slug are one topic, named as first written; covered are its papers' keys in order.
+    """
+    from ..functions.text import slug
+
+    each = papers.select("doi", "position", "times_cited", "paper_rank", F.posexplode("keywords").alias("k", "name")).select("*", slug(F.col("name")).alias("slug")).where(F.trim("name") != "")
+    one = each.groupBy("slug", "doi", "times_cited", "paper_rank").agg(F.min(F.struct("position", "k", "name")).alias("f"))
+    g = one.groupBy("slug").agg(F.min("f").alias("f"), F.count(F.lit(1)).alias("n"), F.avg("times_cited").alias("avg_cites"), F.avg("paper_rank").alias("avg_rank"), F.array_sort(F.collect_list("doi")).alias("covered"))
+    return g.where(F.col("n") >= least).select("slug", "f.name", "n", "avg_cites", "avg_rank", "covered")

@@ -105,3 +105,38 @@ def jobs_by_document(jobs: DataFrame) -> DataFrame:
 def sessions(messages: DataFrame) -> DataFrame:
     """Messages, tokens and the first user text of each session."""
     return messages.groupBy("session").agg(F.count(F.lit(1)).alias("messages"), F.sum(F.greatest(F.lit(1), F.floor(F.length("text") / 2))).alias("tokens"), F.min_by("text", F.when(F.col("role") == "user", F.col("id"))).alias("opening"))
+
+
+def diary_days(sources: dict[str, DataFrame]) -> DataFrame:
+    """(day, a column of counts for each source, total) of several event sources, each with ts."""
+    from functools import reduce
+
+    rows = reduce(DataFrame.union, [df.select(F.to_date("ts").alias("day"), F.lit(name).alias("kind")) for name, df in sources.items()])
+    days = rows.groupBy("day").pivot("kind", list(sources)).agg(F.count(F.lit(1)))
+    counts = [F.coalesce(F.col(c), F.lit(0)).cast("bigint").alias(c) for c in sources]
+    out = days.select("day", *counts)
+    return out.withColumn("total", reduce(lambda a, b: a + b, (F.col(c) for c in sources)))
+
+
+def diary_months(days: DataFrame) -> DataFrame:
+    """(month, days, and the sums) of diary days."""
+    sums = [F.sum(c).alias(c) for c in days.columns if c != "day"]
+    return days.groupBy(F.date_format("day", "yyyy-MM").alias("month")).agg(F.count(F.lit(1)).alias("days"), *sums)
+
+
+def resolved(failures: DataFrame, done: DataFrame) -> DataFrame:
+    """Failures with those of the (doi, op) in `done` marked as resolved."""
+    marked = failures.join(done.select("doi", "op").distinct().withColumn("_done", F.lit(1)), ["doi", "op"], "left")
+    return marked.withColumn("resolved", F.coalesce("_done", "resolved")).drop("_done")
+
+
+def query_vectors(queries: DataFrame, cache: DataFrame) -> DataFrame:
+    """(query_id, key, vector): the cached vector (key, vector, hits) of each query by the MD5 of its trimmed text, null where it must be computed."""
+    asked = queries.select("query_id", F.md5(F.trim("query").cast("binary")).alias("key"))
+    return asked.join(cache.select("key", "vector"), "key", "left").select("query_id", "key", "vector")
+
+
+def count_hits(cache: DataFrame, asked: DataFrame) -> DataFrame:
+    """The cache with the hits of a batch of keys added."""
+    n = asked.groupBy("key").agg(F.count(F.lit(1)).alias("_n"))
+    return cache.join(n, "key", "left").withColumn("hits", F.col("hits") + F.coalesce("_n", F.lit(0))).drop("_n")

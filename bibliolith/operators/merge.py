@@ -85,23 +85,63 @@ def reconcile(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     return a.union(b)
 
 
-def resolve(requests: DataFrame, by_rid: DataFrame, by_identifier: DataFrame, by_dirname: DataFrame) -> DataFrame:
-    """Resolve `name` to a rid: as a rid itself, then by identifier, then by directory name; `how` tells which."""
+def resolve(requests: DataFrame, by_rid: DataFrame, by_identifier: DataFrame, by_dirname: DataFrame, by_doi: DataFrame | None = None) -> DataFrame:
+    """Resolve `name` to a rid: as a rid itself, then by identifier, then as a DOI by rule, then by directory name; `how` tells which.
+
+    by_doi has doi and rid; names are compared with it in the plain form of DOIs.
+    """
+    from ..functions.text import doi as plain
+
     j = requests.join(by_rid.select(F.col("rid").alias("name"), F.col("rid").alias("r1")), "name", "left")
     j = j.join(by_identifier.select(F.col("value").alias("name"), F.col("rid").alias("r2")), "name", "left").join(by_dirname.select(F.col("dirname").alias("name"), F.col("rid").alias("r3")), "name", "left")
-    how = F.when(F.col("r1").isNotNull(), "rid").when(F.col("r2").isNotNull(), "identifier").when(F.col("r3").isNotNull(), "dirname").otherwise("")
-    return j.select("name", F.coalesce("r1", "r2", "r3", F.lit("")).alias("rid"), how.alias("how"))
+    j = j.withColumn("_doi", plain(F.col("name")))
+    j = j.join(by_doi.select(plain(F.col("doi")).alias("_doi"), F.col("rid").alias("r4")).dropDuplicates(["_doi"]), "_doi", "left") if by_doi is not None else j.withColumn("r4", F.lit(None).cast("string"))
+    how = F.when(F.col("r1").isNotNull(), "rid").when(F.col("r2").isNotNull(), "identifier").when(F.col("r4").isNotNull(), "doi").when(F.col("r3").isNotNull(), "dirname").otherwise("")
+    return j.select("name", F.coalesce("r1", "r2", "r4", "r3", F.lit("")).alias("rid"), how.alias("how"))
 
 
 def cascade_delete(parents: DataFrame, children: DataFrame, gone: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     return parents.join(gone, key, "left_anti"), children.join(gone, key, "left_anti")
 
 
+def delete_down(gone: DataFrame, tables: list[tuple[DataFrame, str, str | None]]) -> list[DataFrame]:
+    """What remains of a chain of tables (rows, key, key of the parent) when the first loses the keys in `gone`: every table loses the rows below lost ones."""
+    out, lost = [], gone.toDF("_gone")
+    for k, (rows, key, parent) in enumerate(tables):
+        by = key if k == 0 else parent
+        out.append(rows.join(lost, F.col(by) == F.col("_gone"), "left_anti"))
+        lost = rows.join(lost, F.col(by) == F.col("_gone"), "left_semi").select(F.col(key).alias("_gone")).distinct()
+    return out
+
+
+def sync_columns(meta: DataFrame, identifiers: DataFrame, papers: DataFrame, numbers: list[str], texts: list[str]) -> DataFrame:
+    """`meta` (rid, doi, ...) brought up to date by papers (doi, ...): numbers where the paper has one, texts where it has a non-empty one.
+
+    A document's doi is what `identifiers` (value, rid) names for its rid (the least, of several), else its own.
+    """
+    named = identifiers.groupBy("rid").agg(F.min("value").alias("_value"))
+    keyed = meta.join(named, "rid", "left").withColumn("_doi", F.coalesce("_value", "doi"))
+    source = papers.select(F.col("doi").alias("_doi"), *(F.col(c).alias(f"_{c}") for c in (*numbers, *texts))).dropDuplicates(["_doi"])
+    joined = keyed.join(source, "_doi", "left")
+    fresh = {c: F.coalesce(F.col(f"_{c}"), F.col(c)) for c in numbers} | {c: F.coalesce(filled(f"_{c}"), F.col(c)) for c in texts}
+    return joined.select(*(fresh[c].alias(c) if c in fresh else F.col(c) for c in meta.columns))
+
+
 def compact(segments: DataFrame, key: str, version: str, deleted: str) -> DataFrame:
     """The live rows of an append-only table: the latest version of each key, unless that is a tombstone."""
     return first_by(segments, [key], [F.desc(version)]).where(~F.col(deleted))
 
 
+def appended(segments: DataFrame, batch: DataFrame, key: str, version: str, deleted: str, gone: DataFrame | None = None) -> DataFrame:
+    """An append-only table with a batch of rows and, for the keys in `gone`, tombstones: versions go on from the highest there is."""
+    last = segments.agg(F.coalesce(F.max(version), F.lit(0)).alias("_last"))
+    more = batch.withColumn(deleted, F.lit(False))
+    if gone is not None:
+        rest = [c for c in batch.columns if c != key]
+        more = more.unionByName(gone.select(key, *(F.lit(None).cast(dict(batch.dtypes)[c]).alias(c) for c in rest)).withColumn(deleted, F.lit(True)))
+    return segments.unionByName(more.crossJoin(F.broadcast(last)).withColumn(version, (F.col("_last") + 1).cast(dict(segments.dtypes)[version])).drop("_last").select(segments.columns))
+
+
 def snapshot_diff(old: DataFrame, new: DataFrame, key: str, content: str, meta: str) -> DataFrame:
     """(key, action): insert, refresh, meta_only, keep or delete."""
     j = old.select(key, F.col(content).alias("_oc"), F.col(meta).alias("_om")).join(new.select(key, F.col(content).alias("_nc"), F.col(meta).alias("_nm")), key, "full_outer")

@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..operators import journals, library
+from ..operators import graph, journals, ledger, library, merge
 from ..schema import rounded
+from ..streaming import events as stream
 from .standins import EDGES, PAPERS, edges, table, view
 
 _STORE = f"SELECT *, is_cleaned AS is_enriched, id AS imported_at FROM ({PAPERS}) s"
@@ -232,12 +233,98 @@ def directory_names(spark, sf):
     return d.select("id", text.dirname(F.col("doi")).alias("dir"), text.from_dirname(text.dirname(F.col("doi"))).alias("back"))
 
 
+_SOME = graph.NodeFilter(year_from=1995, min_citations=10)
+
+
+def network_preview(spark, sf):
+    return graph.network_preview(view(spark, sf, PAPERS), edges(spark, sf).where("citing < cited"), _SOME, "times_cited", 40)
+
+
+def network_citations(spark, sf):
+    nodes, _ = graph.build_network(view(spark, sf, PAPERS), edges(spark, sf), _SOME, "times_cited", 60)
+    return graph.with_citations(nodes, "filtered").select("doi", "cite_count")
+
+
+def top_ranked(spark, sf):
+    ranks = view(spark, sf, "SELECT CAST(l_partkey AS STRING) AS doi, sum(l_quantity) AS rank FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1")
+    return graph.top_ranked(view(spark, sf, PAPERS), ranks, 30).select("doi", "rank")
+
+
+def topics(spark, sf):
+    p = view(spark, sf, PAPERS).withColumn("keywords", F.split("abstract", " ")).withColumn("position", F.col("id"))
+    t = graph.topics(p, 3)
+    return t.select("slug", "name", "n", rounded(F.col("avg_cites"), 4).alias("avg_cites"), F.size("covered").cast("bigint").alias("covered"))
+
+
+def deleted_chain(spark, sf):
+    c = view(spark, sf, "SELECT c_custkey AS k FROM customer")
+    o = view(spark, sf, "SELECT o_orderkey AS k, o_custkey AS parent FROM orders")
+    li = view(spark, sf, "SELECT l_orderkey * 10 + l_linenumber AS k, l_orderkey AS parent FROM lineitem")
+    left = merge.delete_down(c.where("k % 3 = 0"), [(c, "k", None), (o, "k", "parent"), (li, "k", "parent")])
+    return left[2].groupBy("parent").agg(F.count(F.lit(1)).alias("n"))
+
+
+def synced_columns(spark, sf):
+    meta = view(spark, sf, "SELECT concat('r', CAST(c_custkey AS STRING)) AS rid, CASE WHEN c_custkey % 2 = 0 THEN CAST(c_custkey AS STRING) ELSE '' END AS doi, c_name AS title, CAST(c_custkey AS BIGINT) AS cites FROM customer")
+    ids = view(spark, sf, "SELECT CAST(c_custkey + 7 AS STRING) AS value, concat('r', CAST(c_custkey AS STRING)) AS rid FROM customer WHERE c_custkey % 3 = 0")
+    p = view(spark, sf, "SELECT CAST(p_partkey AS STRING) AS doi, CASE WHEN p_partkey % 5 = 0 THEN '' ELSE p_name END AS title, CASE WHEN p_partkey % 4 = 0 THEN NULL ELSE CAST(p_size AS BIGINT) END AS cites FROM part")
+    return merge.sync_columns(meta, ids, p, ["cites"], ["title"])
+
+
+def appended_segments(spark, sf):
+    old = view(spark, sf, "SELECT user_id AS k, event_id AS version, false AS deleted, event_type AS body FROM events WHERE event_id % 2 = 0")
+    batch = view(spark, sf, "SELECT user_id AS k, max(event_type) AS body FROM events WHERE event_id % 2 = 1 AND user_id % 3 = 0 GROUP BY 1")
+    gone = view(spark, sf, "SELECT DISTINCT user_id AS k FROM events WHERE user_id % 3 = 1")
+    return merge.compact(merge.appended(old, batch, "k", "version", "deleted", gone), "k", "version", "deleted").select("k", "body")
+
+
+def resolved_by_doi(spark, sf):
+    names = view(spark, sf, "SELECT DISTINCT concat(CASE WHEN o_custkey % 2 = 0 THEN 'https://doi.org/' ELSE '' END, '10.1234/A', CAST(o_custkey AS STRING)) AS name FROM orders")
+    one = lambda c: view(spark, sf, f"SELECT '-' AS {c}, '-' AS rid FROM region WHERE false")
+    known = view(spark, sf, "SELECT concat('10.1234/a', CAST(c_custkey AS STRING)) AS doi, concat('r', CAST(c_custkey AS STRING)) AS rid FROM customer WHERE c_custkey % 3 > 0")
+    return merge.resolve(names, view(spark, sf, "SELECT '-' AS rid FROM region WHERE false"), one("value"), one("dirname"), known)
+
+
+def diary_by_day(spark, sf):
+    e = table(spark, sf, "events")
+    return ledger.diary_days({k: e.where(F.col("event_type") == k) for k in ("click", "view", "purchase")})
+
+
+def diary_by_month(spark, sf):
+    return ledger.diary_months(diary_by_day(spark, sf))
+
+
+def resolved_failures(spark, sf):
+    f = view(spark, sf, "SELECT CAST(user_id AS STRING) AS doi, event_type AS op, event_id AS id, 0 AS resolved FROM events")
+    return ledger.resolved(f, f.where("id % 5 = 0")).select("id", "resolved")
+
+
+def cached_vectors(spark, sf):
+    cache = view(spark, sf, "SELECT md5(trim(text)) AS key, item_id AS vector FROM benchmark WHERE item_id % 2 = 0")
+    return ledger.query_vectors(view(spark, sf, "SELECT item_id AS query_id, concat(' ', text) AS query FROM benchmark"), cache)
+
+
+def cache_hits(spark, sf):
+    cache = view(spark, sf, "SELECT CAST(c_custkey AS STRING) AS key, CAST(c_custkey % 4 AS BIGINT) AS hits FROM customer")
+    return ledger.count_hits(cache, view(spark, sf, "SELECT CAST(o_custkey AS STRING) AS key FROM orders"))
+
+
+def stream_sliding(spark, sf):
+    out = stream.run_batchwise(spark, sf, lambda e: stream.counts_by_window(e, "2 days", "3650 days", "1 day"), "sliding", "complete")
+    return out.select("start", "event_type", "n")
+
+
+def stream_visits(spark, sf):
+    return stream.run_batchwise(spark, sf, lambda e: stream.visits(e, "user_id", "6 hours", "3650 days"), "visits", "complete").select("user_id", "start", "n")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         store_counts, unenriched_keys, pending_keys, known_keys, newest_papers, library_items, library_filtered, library_page, kind_filter, trash_filter, kind_chips, library_stats, index_health, passage_counts, metric_years,
         mapping_sources, mapping_learnt, usage_prefix, paragraph_query, audit_query, year_filter, shared_keys, key_families, ordered_unions, third_level, dropped_aliases, incremental_add, recent_messages, node_sizes,
         cluster_members, metric_zones, journal_lookup, title_matches, name_matches, enriched_hits, concept_pairs, canonical_concepts, concept_pages, related_documents, resource_keys, directory_names,
+        network_preview, network_citations, top_ranked, topics, deleted_chain, synced_columns, appended_segments, resolved_by_doi, diary_by_day, diary_by_month, resolved_failures, cached_vectors, cache_hits, stream_sliding, stream_visits,
     )
 }
 
@@ -312,4 +399,24 @@ ORACLE_SQL = {
     "directory_names": """SELECT p_partkey AS id, CASE WHEN p_partkey % 2 = 0 THEN concat('10.1234_a__b~', p_partkey) ELSE concat('10.1234_', replace(p_brand, '#', '-'), p_partkey, '--', substr(md5(concat('10.1234/', p_brand, p_partkey)), 1, 6)) END AS dir,
         CASE WHEN p_partkey % 2 = 0 THEN concat('10.1234/a_b:', p_partkey) ELSE '' END AS back FROM part""",
 }
+_CHOSEN = f"SELECT doi FROM ({PAPERS}) WHERE regexp_matches(year, '^[0-9]{{4}}$') AND CAST(CASE WHEN regexp_matches(year, '^[0-9]{{4}}$') THEN year END AS INT) >= 1995 AND times_cited >= 10"
+_DAYS = "SELECT CAST(date_trunc('day', ts) AS DATE) AS day, count(*) FILTER (event_type = 'click') AS click, count(*) FILTER (event_type = 'view') AS view, count(*) FILTER (event_type = 'purchase') AS purchase, count(*) AS total FROM events WHERE event_type IN ('click', 'view', 'purchase') GROUP BY 1"
+ORACLE_SQL |= {
+    "network_preview": f"WITH m AS ({_CHOSEN}), s AS ({_CHOSEN} ORDER BY times_cited DESC, doi LIMIT 40), e AS (SELECT * FROM ({EDGES}) WHERE citing < cited) SELECT (SELECT count(*) FROM m) AS matched, count(*) AS selected, count(*) FILTER (doi NOT IN (SELECT citing FROM e UNION SELECT cited FROM e)) AS isolated FROM s",
+    "network_citations": f"WITH s AS ({_CHOSEN} ORDER BY times_cited DESC, doi LIMIT 60), e AS (SELECT * FROM ({EDGES}) WHERE citing IN (SELECT doi FROM s) AND cited IN (SELECT doi FROM s)) SELECT doi, (SELECT count(*) FROM e WHERE cited = doi) AS cite_count FROM s WHERE doi IN (SELECT citing FROM e UNION SELECT cited FROM e)",
+    "top_ranked": f"SELECT doi, rank FROM ({PAPERS}) LEFT JOIN (SELECT CAST(l_partkey AS VARCHAR) AS doi, sum(l_quantity) AS rank FROM lineitem WHERE l_returnflag = 'A' GROUP BY 1) USING (doi) WHERE NOT is_reference ORDER BY rank DESC NULLS LAST, doi LIMIT 30",
+    "topics": f"WITH k AS (SELECT DISTINCT id, times_cited, x AS name FROM (SELECT id, times_cited, unnest(string_split(abstract, ' ')) AS x FROM ({PAPERS})) WHERE x <> '') SELECT lower(name) AS slug, name, count(*) AS n, floor(avg(times_cited) * 10000 + 0.5) / 10000.0 AS avg_cites, count(*) AS covered FROM k GROUP BY 1, 2 HAVING count(*) >= 3",
+    "deleted_chain": "SELECT l_orderkey AS parent, count(*) AS n FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_custkey % 3 = 0 AND o_custkey IN (SELECT c_custkey FROM customer)) GROUP BY 1",
+    "synced_columns": """SELECT concat('r', c_custkey) AS rid, CASE WHEN c_custkey % 2 = 0 THEN CAST(c_custkey AS VARCHAR) ELSE '' END AS doi, CASE WHEN p_partkey IS NOT NULL AND p_partkey % 5 <> 0 THEN p_name ELSE c_name END AS title, CASE WHEN p_partkey IS NOT NULL AND p_partkey % 4 <> 0 THEN CAST(p_size AS BIGINT) ELSE CAST(c_custkey AS BIGINT) END AS cites
+        FROM customer LEFT JOIN part ON p_partkey = CASE WHEN c_custkey % 3 = 0 THEN c_custkey + 7 WHEN c_custkey % 2 = 0 THEN c_custkey END""",
+    "appended_segments": "SELECT user_id AS k, max(event_type) AS body FROM events WHERE event_id % 2 = 1 AND user_id % 3 = 0 GROUP BY 1 UNION ALL SELECT user_id, arg_max(event_type, event_id) FROM events WHERE event_id % 2 = 0 AND user_id % 3 <> 1 AND NOT (user_id % 3 = 0 AND user_id IN (SELECT user_id FROM events WHERE event_id % 2 = 1)) GROUP BY 1",
+    "resolved_by_doi": "SELECT DISTINCT concat(CASE WHEN o_custkey % 2 = 0 THEN 'https://doi.org/' ELSE '' END, '10.1234/A', o_custkey) AS name, CASE WHEN o_custkey % 3 > 0 AND o_custkey IN (SELECT c_custkey FROM customer) THEN concat('r', o_custkey) ELSE '' END AS rid, CASE WHEN o_custkey % 3 > 0 AND o_custkey IN (SELECT c_custkey FROM customer) THEN 'doi' ELSE '' END AS how FROM orders",
+    "diary_by_day": _DAYS,
+    "diary_by_month": f"SELECT strftime(day, '%Y-%m') AS month, count(*) AS days, CAST(sum(click) AS BIGINT) AS click, CAST(sum(view) AS BIGINT) AS view, CAST(sum(purchase) AS BIGINT) AS purchase, CAST(sum(total) AS BIGINT) AS total FROM ({_DAYS}) GROUP BY 1",
+    "resolved_failures": "SELECT event_id AS id, CASE WHEN EXISTS (SELECT 1 FROM events x WHERE x.user_id = e.user_id AND x.event_type = e.event_type AND x.event_id % 5 = 0) THEN 1 ELSE 0 END AS resolved FROM events e",
+    "cached_vectors": "SELECT q.item_id AS query_id, md5(trim(concat(' ', q.text), ' ')) AS key, b.item_id AS vector FROM benchmark q LEFT JOIN (SELECT md5(trim(text, ' ')) AS key, item_id FROM benchmark WHERE item_id % 2 = 0) b ON b.key = md5(trim(concat(' ', q.text), ' '))",
+    "cache_hits": "SELECT CAST(c_custkey AS VARCHAR) AS key, c_custkey % 4 + (SELECT count(*) FROM orders WHERE o_custkey = c_custkey) AS hits FROM customer",
+    "stream_sliding": "SELECT start, event_type, count(*) AS n FROM (SELECT event_type, unnest([time_bucket(INTERVAL 1 DAY, ts), time_bucket(INTERVAL 1 DAY, ts) - INTERVAL 1 DAY]) AS start FROM events) GROUP BY 1, 2",
+    "stream_visits": "WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS new FROM events), r AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS run FROM g) SELECT user_id, min(ts) AS start, count(*) AS n FROM r GROUP BY user_id, run",
+}
 ORACLE_SQL = {k: _DUCK(v) for k, v in ORACLE_SQL.items()}

@@ -198,3 +198,18 @@ def test_registry_and_retries(spark):
 def test_library_view_of_folders(spark):
     f = library.LibraryFilter(journal="x", status="l1", year_from=2000)
     assert "on_disk" in str(f.condition()) and library.page_of(spark.range(500), [F.col("id")], 0, 1000).count() == 200
+
+
+def test_upserts_by_part(spark, tmp_path):
+    from bibliolith.streaming import events
+
+    write = events.upsert_batches(str(tmp_path / "t"), "k", "version")
+    first = spark.createDataFrame([(k, 1, "a") for k in range(200)], "k long, version long, x string")
+    second = spark.createDataFrame([(5, 2, "b"), (5, 0, "c"), (900, 1, "d")], first.schema)
+    write(first, 0)
+    write(second, 1)
+    write(second, 1)
+    got = {r.k: (r.version, r.x) for r in events.read_upserted(spark, str(tmp_path / "t"), first.schema).collect()}
+    assert len(got) == 201 and got[5] == (2, "b") and got[900] == (1, "d") and got[7] == (1, "a")
+    assert len(list((tmp_path / "t" / "v=1").glob("part=*"))) <= 2
+    assert events.read_upserted(spark, str(tmp_path / "none"), first.schema).count() == 0
