@@ -1,6 +1,6 @@
 """Main text of web pages by equivalence-class template deduction.
 
-Pages of one host come from few templates. A token is the path of a container element; its occurrence vector over the
+Pages of one host come from few templates. A token is the path of a container element, or of an inline element in it; its occurrence vector over the
 host's pages is summed up in a fingerprint (counts times page hashes, a sum that can be pre-aggregated, so a host's
 vectors need no place that grows with its pages). Tokens of one fingerprint form an equivalence class; classes with
 several tokens on enough pages make up the template, nested by their paths. The slots of the template whose text never
@@ -54,6 +54,8 @@ SHARED_TEXTS, TURNS = 0.8, 4
 LONGEST_PATH = 240
 #: Marks a path of texts that take turns, which is furniture outside articles only.
 _TURNING = "\r"
+#: Marks an inline element of a path: a token of classes, but no slot.
+_INLINE = "\x1f"
 _CLOSES = {"p": {"p"}, "li": {"li"}, "td": {"td", "th"}, "th": {"td", "th"}, "tr": {"tr", "td", "th"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "option": {"option"}}
 
 
@@ -73,8 +75,8 @@ def _marked(tag: str, attributes: str, article: bool) -> tuple[bool, bool, str]:
     return out, named, f"{tag}.{names[0]}" if names else tag
 
 
-def blocks(page: str, names: bool = True) -> list[tuple[str, str, bool, bool, bool]]:
-    """(path, text, inside an article, inside furniture, a link's text) of every block of text, in page order. Without `names` no name makes furniture.
+def blocks(page: str, names: bool = True) -> list[tuple[str, str, bool, bool, tuple[str, ...], bool]]:
+    """(path, text, inside an article, inside furniture, inline elements in it, a link's text) of every block of text, in page order. Without `names` no name makes furniture.
 
     A name makes no furniture of an element that holds the article (of several the one with most text) or more than half of the page's text.
     """
@@ -82,7 +84,7 @@ def blocks(page: str, names: bool = True) -> list[tuple[str, str, bool, bool, bo
     held: Counter[int] = Counter()
     articles: Counter[tuple[int, tuple[int, ...]]] = Counter()
     total = 0
-    for _, text, within, out, named, _ in found:
+    for _, text, within, out, named, _, _ in found:
         if not out:
             total += len(text)
             held.update(dict.fromkeys(named, len(text)))
@@ -90,13 +92,14 @@ def blocks(page: str, names: bool = True) -> list[tuple[str, str, bool, bool, bo
     void = {k for k, n in held.items() if 2 * n > total or not names}
     if articles:
         void.update(max(articles, key=lambda a: (articles[a], -a[0]))[1])
-    return [(path, text, bool(within), out or not void.issuperset(named), link) for path, text, within, out, named, link in found]
+    return [(path, text, bool(within), out or not void.issuperset(named), tags, link) for path, text, within, out, named, tags, link in found]
 
 
-def _blocks(page: str) -> Iterator[tuple[str, str, tuple, bool, tuple[int, ...], bool]]:
-    """Of every block: path, text, articles around it (place, names around that), is it inside furniture by kind, elements with furniture's names around it (places), is it a link's text."""
+def _blocks(page: str) -> Iterator[tuple[str, str, tuple, bool, tuple[int, ...], tuple[str, ...], bool]]:
+    """Of every block: path, text, articles around it (place, names around that), is it inside furniture by kind, elements with furniture's names around it (places), inline elements in it, is it a link's text."""
     stack = [_Element("", "", False, (), (), False)]
     parts: list[str] = []
+    tags: set[str] = set()
     links = 0
     at, size = 0, len(page)
     owner = stack[0]
@@ -105,9 +108,11 @@ def _blocks(page: str) -> Iterator[tuple[str, str, tuple, bool, tuple[int, ...],
         nonlocal links
         text = _SPACE.sub(" ", html.unescape("".join(parts))).strip() if parts else ""
         linked = bool(text) and links * 2 > len(text)
+        inline = tuple(sorted(tags))
         parts.clear()
+        tags.clear()
         links = 0
-        return (owner.path, text, owner.articles, owner.out, owner.named, linked) if text else None
+        return (owner.path, text, owner.articles, owner.out, owner.named, inline, linked) if text else None
 
     while at < size:
         m = _TOKEN.search(page, at)
@@ -147,6 +152,8 @@ def _blocks(page: str) -> Iterator[tuple[str, str, tuple, bool, tuple[int, ...],
                             break
             elif tag == "br":
                 parts.append(" ")
+            if tag not in BLOCK:
+                tags.add(tag)
             if tag in VOID or m[3].rstrip().endswith("/") and tag not in BLOCK:
                 continue
             top = stack[-1]
@@ -178,7 +185,7 @@ def _text_token(path: str, text: str) -> str:
 
 def main_text(page: str, furniture: frozenset[str], names: bool = True) -> str:
     """The blocks that stand in no slot of `furniture` and are no text of it; if none has text those of the article, and if none is marked all."""
-    kept = [(article, path, text) for path, text, article, out, _ in blocks(page, names) if not out]
+    kept = [(article, path, text) for path, text, article, out, _, _ in blocks(page, names) if not out]
     data = [t for a, path, t in kept if not furniture or not (path in furniture or (not a and _TURNING + path in furniture) or _text_token(path, t) in furniture)]
     return "\n\n".join(data or [t for a, _, t in kept if a] or [t for *_, t in kept])
 
@@ -199,24 +206,28 @@ def _token_stats(batches: Iterator) -> Iterator:
             own: dict[str, list] = {}
             texts: dict[str, list] = {}
             whole = 0
-            for path, text, *_, link in blocks(page or ""):
+            inner: dict[str, list] = {}
+            for path, text, *_, tags, link in blocks(page or ""):
                 whole = zlib.crc32(text.encode("utf-8", "replace"), whole)
                 token = _text_token(path, text)
                 if path not in slots:
                     slots[path] = int.from_bytes(hashlib.blake2b(path.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
                 texts.setdefault(token, [0, slots[path]])[0] += 1
+                for tag in tags:
+                    inner.setdefault(f"{_INLINE}{path} {tag}", [0, slots[path]])[0] += 1
                 row = own.setdefault(path, [0, 0, 0, 0])
                 row[0] += 1
                 row[1] += len(text)
                 row[2] += len(text) if link else 0
                 row[3] = zlib.crc32(text.encode("utf-8", "replace"), row[3])
             own.update((token, [n, 0, 0, whole]) for token, (n, _) in texts.items())
+            own.update((token, [n, 0, 0, 0]) for token, (n, _) in inner.items())
             page_crc = zlib.crc32((page or "").encode("utf-8", "replace"))
             h1, h2 = _page_hash(page_id, page_crc, 1), _page_hash(page_id, page_crc, 2)
             for path, (n, chars, linked, crc) in own.items():
                 s = seen.get((host, path))
                 if s is None:
-                    seen[host, path] = [1, n * h1, n * h2, chars, linked, crc, crc, texts[path][1] if path in texts else slots[path]]
+                    seen[host, path] = [1, n * h1, n * h2, chars, linked, crc, crc, (texts.get(path) or inner.get(path) or (0, slots.get(path)))[1]]
                 else:
                     s[0] += 1
                     s[1] += n * h1
@@ -241,7 +252,7 @@ def templates(pages: DataFrame) -> DataFrame:
     hosts = pages.groupBy("host").agg(F.count(F.lit(1)).alias("host_pages"))
     classes = tokens.where("not is_text").groupBy("host", "v1", "v2").agg(F.count(F.lit(1)).alias("tokens"), F.max("pages").alias("on"))
     valid = classes.join(hosts, "host").where((F.col("tokens") >= LEAST_TOKENS) & (F.col("on") >= LEAST_SHARE * F.col("host_pages"))).select("host", "v1", "v2", "host_pages")
-    slots = tokens.join(valid, ["host", "v1", "v2"]).join(shared, ["host", "slot"])
+    slots = tokens.where(~F.startswith("path", F.lit(_INLINE))).join(valid, ["host", "v1", "v2"]).join(shared, ["host", "slot"])
     still = (F.col("low") == F.col("high")) | (F.col("linked") >= 0.9 * F.col("chars"))
     turning = (F.col("shared") >= SHARED_TEXTS) & (F.col("turns") >= TURNS)
     constant = (F.col("low") < F.col("high")) & (F.col("pages") > TEXT_SHARE * F.col("host_pages"))

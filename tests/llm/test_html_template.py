@@ -50,7 +50,9 @@ def brute_furniture(pages):
     where, texts, links, on = {}, {}, {}, {}
     for k, page in enumerate(pages):
         mine = {}
-        for path, text, *_, link in htmltext.blocks(page):
+        for path, text, *_, tags, link in htmltext.blocks(page):
+            for tag in tags:
+                where.setdefault((path, tag), [0] * len(pages))[k] += 1
             mine.setdefault(path, []).append(text)
             where.setdefault(path, [0] * len(pages))[k] += 1
             on.setdefault((path, text), set()).add(k)
@@ -62,7 +64,7 @@ def brute_furniture(pages):
     for path, vector in where.items():
         classes.setdefault(tuple(vector), []).append(path)
     valid = [v for v, own in classes.items() if len(own) >= 2 and sum(map(bool, v)) >= max(3, 0.3 * len(pages))]
-    return {p for v in valid for p in classes[v] if len(texts[p]) == 1 or links[p][1] >= 0.9 * links[p][0]}
+    return {p for v in valid for p in classes[v] if isinstance(p, str) and (len(texts[p]) == 1 or links[p][1] >= 0.9 * links[p][0])}
 
 
 def test_slots_equal_those_of_whole_vectors(spark):
