@@ -11,11 +11,11 @@ from ..scratch import discard, materialize
 def _round(edges: DataFrame, least: DataFrame) -> DataFrame:
     """Large-star, then small-star of edges (u, v) with u > v; `least` has the least neighbour, or itself, of every node.
 
-    The first join meets a table of minima, so that a hub's edges can be split over tasks. What it yields is dealt once by u, for
-    the minima of the second step and for the join with them.
+    The first join meets a table of minima, so that a hub's edges can be split over tasks; most of what it yields for a hub is one
+    edge again and again, which goes before rows are dealt by u, for the minima of the second step and for the join with them.
     """
     both = edges.select("u", "v").union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    large = both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    large = both.join(least, "u").where("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
     dealt = large.repartition("u")
     low = dealt.groupBy("u").agg(F.min("v").alias("m"))
     joined = dealt.join(low, "u")
@@ -26,7 +26,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     """(node, component) for every endpoint of `edges` (columns src, dst); a component is named by its least node.
 
     Alternates large-star (each node's larger neighbours move to the least neighbour) and small-star steps until only
-    stars are left: O(log^2 n) rounds, each four shuffles of the edges, whatever the diameter, and none for edges that are
+    stars are left: O(log^2 n) rounds, each five shuffles of the edges, whatever the diameter, and none for edges that are
     stars from the start. Self-loops give single nodes; rows with a null endpoint are ignored; repeated edges count once;
     no edges give no rows.
     """
