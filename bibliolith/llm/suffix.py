@@ -21,6 +21,7 @@ import numpy as np
 from numpy.lib.stride_tricks import sliding_window_view
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import _powers, binary_batch, discard, materialize, mix64, release_shuffles, shuffle_partitions, slices, small_batches
 
@@ -28,6 +29,8 @@ from .common import _powers, binary_batch, discard, materialize, mix64, release_
 GRAM, HOT = 32, 500
 #: Bytes that are sorted at once.
 CHUNK = 1 << 20
+#: Parts that a hot string's rows are dealt to.
+SALTS = 64
 
 
 def suffix_array(text: np.ndarray, depth: int, wanted: np.ndarray | None = None) -> np.ndarray:
@@ -371,9 +374,12 @@ def remove_repeats(docs: DataFrame, length: int = 100, with_text: bool = False)
 
     stretches = looked.where("kind = 1").select(F.col("key1").alias("value"), "doc_id", "a", "bytes").repartition(shuffle_partitions(spark), "value").sortWithinPartitions("value")
     sorted_ = stretches.mapInArrow(partial(_sort_stretches, length=length), "doc_id long, a long, b long")
-    met = looked.where("kind = 2").select("key1", "key2", "doc_id", "a", "b")
-    firsts_met = met.groupBy("key1", "key2").agg(F.min(F.struct("doc_id", "a")).alias("first"))
-    met = met.join(firsts_met, ["key1", "key2"]).where(F.struct("doc_id", "a") != F.col("first")).select("doc_id", "a", "b")
+    # the first of equal strings is the first of the firsts of salted parts, so no window holds a hot string's rows
+    met = looked.where("kind = 2").select("key1", "key2", "doc_id", "a", "b", F.pmod(F.xxhash64("doc_id", "a"), F.lit(SALTS)).alias("salt"))
+    place = lambda *keys: F.dense_rank().over(Window.partitionBy("key1", "key2", *keys).orderBy("doc_id", "a"))
+    met = met.withColumn("nth", place("salt"))
+    leads = met.where("nth = 1").withColumn("lead", place()).where("lead > 1")
+    met = met.where("nth > 1").select("doc_id", "a", "b").union(leads.select("doc_id", "a", "b"))
     gone = materialize(looked.where("kind = 0").select("doc_id", "a", "b").union(sorted_).union(met), "repeats")
     discard(looked)
     release_shuffles(spark)
