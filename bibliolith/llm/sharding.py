@@ -25,12 +25,12 @@ HEAVY_PART = 16
 
 
 class Segment:
-    """A run of groups from the key `first` to the key `last`: their bytes, and whether it is one group only."""
+    """A run of groups from the key `first` to the key `last`, all those of one `part`: their bytes, and whether it is one group only."""
 
-    __slots__ = ("first", "last", "size")
+    __slots__ = ("first", "last", "part", "size")
 
-    def __init__(self, first: str, last: str, size: int):
-        self.first, self.last, self.size = first, last, size
+    def __init__(self, first: str, last: str, size: int, part: str):
+        self.first, self.last, self.size, self.part = first, last, size, part
 
     @property
     def atomic(self) -> bool:
@@ -83,6 +83,8 @@ def _in_windows(segments: list[Segment], sums: list[int], low: int, high: int, s
     for _ in range(shards - 1):
         first = sums[max(0, bisect_right(sums, min(first + low, sums[-1])) - 1)] if first + low < sums[-1] else sums[-1]
         last = min(last + high, sums[-1])
+        if last < sums[-1] and segments[k := bisect_right(sums, last) - 1].atomic:
+            last = sums[k]  # no cut falls inside a group
         if first >= sums[-1]:
             break
         a, b = bisect_right(sums, first) - 1, bisect_right(sums, last) - 1
@@ -98,11 +100,14 @@ def minimax_cuts(keyed: DataFrame, shards: int, key: str = "key", size: str = "s
     heavy = sorted(r[0] for r in heavy.collect())
     # the heavy keys at or before a key, and is it one of them
     before = F.size(F.filter(F.array(*map(F.lit, heavy)).cast("array<string>"), lambda h: h <= F.col(key)))
-    zone = F.struct(before, F.col(key).isin(heavy)) if heavy else F.lit(0)
+    zone = F.concat(before.cast("string"), F.when(F.col(key).isin(heavy), "h").otherwise("")) if heavy else F.lit("")
+
+    def part(digits: int) -> Column:
+        return F.concat(F.substring(key, 1, digits), F.lit("/"), zone)
 
     def split(rows: DataFrame, digits: int) -> list[Segment]:
-        summed = rows.groupBy(F.substring(key, 1, digits).alias("p"), zone.alias("z")).agg(F.sum(size).alias("s"), F.min(key).alias("a"), F.max(key).alias("b"))
-        return [Segment(r.a, r.b, int(r.s)) for r in summed.orderBy("a").collect()]
+        summed = rows.groupBy(part(digits).alias("p")).agg(F.sum(size).alias("s"), F.min(key).alias("a"), F.max(key).alias("b"))
+        return [Segment(r.a, r.b, int(r.s), r.p) for r in summed.orderBy("a").collect()]
 
     segments = split(keyed, FIRST_DIGITS)
     digits = FIRST_DIGITS
@@ -114,7 +119,8 @@ def minimax_cuts(keyed: DataFrame, shards: int, key: str = "key", size: str = "s
             cuts = _walk(segments, sums, high, shards, False)
             return [segments[bisect_right(sums, c) - 1].first for c in cuts if c < sums[-1]]
         digits += MORE_DIGITS
-        inside = reduce(lambda a, b: a | b, (F.col(key).between(segments[k].first, segments[k].last) for k in again))
+        parts = [segments[k].part for k in again]
+        inside = reduce(lambda a, b: a | b, (part(n).isin([p for p in parts if p.index("/") == n]) for n in sorted({p.index("/") for p in parts})))
         finer = split(keyed.where(inside), digits)
         again_set = set(again)
         segments = sorted([s for k, s in enumerate(segments) if k not in again_set] + finer, key=lambda s: s.first)
