@@ -42,7 +42,8 @@ def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
 def bm25(docs: DataFrame, queries: DataFrame, require_all: bool = False, k: int | None = 10, key: str = "doc_id") -> DataFrame:
     """(query_id, key, hits, score): queries (query_id, query) against documents; higher is better, ties by key.
 
-    Query terms are few: they prune the postings before anything is shuffled, and only then are frequencies counted.
+    Query terms are few: they prune the postings before anything is shuffled, and only then are frequencies counted. Parts are added
+    as decimals: the sum is the same in any order, and equal documents tie.
     """
     q = queries.select("query_id", query_terms(F.col("query")).alias("_q")).select("query_id", F.size("_q").alias("terms"), F.explode("_q").alias("term"))
     lengths = docs.select(key, F.size(tokens(F.col("text"))).cast("bigint").alias("dl"))
@@ -51,7 +52,7 @@ def bm25(docs: DataFrame, queries: DataFrame, require_all: bool = False, k: int
     df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.greatest(F.lit(LEAST_IDF), F.ln((F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(float(avg or 1.0))))
-    scored = hits.join(df, "term").join(q, "term").withColumn("part", part).groupBy("query_id", "terms", key).agg(F.count(F.lit(1)).alias("hits"), F.sum("part").alias("score"))
+    scored = hits.join(df, "term").join(q, "term").withColumn("part", part.cast("decimal(38,18)")).groupBy("query_id", "terms", key).agg(F.count(F.lit(1)).alias("hits"), F.sum("part").cast("double").alias("score"))
     if require_all:
         scored = scored.where("hits = terms")
     scored = scored.drop("terms")
