@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.segment import let, stripped, trimmed
+from ..scratch import materialize
 
 #: Fixed values of the ranking function.
 K1, B, LEAST_IDF = 1.2, 0.75, 1e-6
@@ -29,8 +30,10 @@ def cjk_grams(text: Column, most: int = 12) -> Column:
     return F.when(F.length(only) >= 2, F.slice(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(only) - 1), lambda i: F.substring(only, i, F.lit(2)))), 1, most)).otherwise(F.array().cast("array<string>"))
 
 
-def query_terms(query: Column, most: int = MOST_TERMS) -> Column:
-    return F.array_distinct(F.slice(tokens(F.regexp_replace(query, '"', " ")), 1, most))
+def query_terms(query: Column, most: int | None = None) -> Column:
+    """Distinct tokens of a query, of all its words or of the first `most`."""
+    words = tokens(F.regexp_replace(query, '"', " "))
+    return F.array_distinct(words if most is None else F.slice(words, 1, most))
 
 
 def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -39,16 +42,17 @@ def postings(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFr
     return t.select(key, F.size("_t").cast("bigint").alias("dl"), F.explode("_t").alias("term")).groupBy(key, "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def bm25(docs: DataFrame, queries: DataFrame, require_all: bool = False, k: int | None = 10, key: str = "doc_id") -> DataFrame:
+def bm25(docs: DataFrame, queries: DataFrame, require_all: bool = False, k: int | None = 10, key: str = "doc_id", most: int | None = None) -> DataFrame:
     """(query_id, key, hits, score): queries (query_id, query) against documents; higher is better, ties by key.
 
-    Query terms are few: they prune the postings before anything is shuffled, and only then are frequencies counted. Parts are added
-    as decimals: the sum is the same in any order, and equal documents tie.
+    Query terms are few: they prune the postings before anything is shuffled, and only then are frequencies counted. Postings lie
+    together by document, so a query's parts of a document meet before the shuffle. Parts are added as decimals: the sum is the
+    same in any order, and equal documents tie.
     """
-    q = queries.select("query_id", query_terms(F.col("query")).alias("_q")).select("query_id", F.size("_q").alias("terms"), F.explode("_q").alias("term"))
+    q = queries.select("query_id", query_terms(F.col("query"), most).alias("_q")).select("query_id", F.size("_q").alias("terms"), F.explode("_q").alias("term"))
     lengths = docs.select(key, F.size(tokens(F.col("text"))).cast("bigint").alias("dl"))
     n, avg = lengths.agg(F.count(F.lit(1)), F.avg("dl")).first()
-    hits = postings(docs, key).join(q.select("term").distinct(), "term", "left_semi")
+    hits = materialize(postings(docs, key).join(q.select("term").distinct(), "term", "left_semi").repartition(key), "postings")
     df = hits.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
     idf = F.greatest(F.lit(LEAST_IDF), F.ln((F.lit(float(n)) - F.col("df") + 0.5) / (F.col("df") + 0.5)))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(float(avg or 1.0))))
@@ -65,10 +69,10 @@ def bm25(docs: DataFrame, queries: DataFrame, require_all: bool = False, k: int
 def staged(docs: DataFrame, queries: DataFrame, key: str = "doc_id") -> DataFrame:
     """(query_id, key, stage) of the first stage that finds anything: 1 all terms, 2 any term, 3 the query as a substring.
 
-    All stages are computed at once; each query keeps the rows of its least stage.
+    All stages are computed at once; each query keeps the rows of its least stage. The first two take a query's first words.
     """
-    hits = bm25(docs, queries, k=None, key=key)
-    n = queries.select("query_id", F.size(query_terms(F.col("query"))).alias("terms"))
+    hits = bm25(docs, queries, k=None, key=key, most=MOST_TERMS)
+    n = queries.select("query_id", F.size(query_terms(F.col("query"), MOST_TERMS)).alias("terms"))
     by_terms = hits.join(n, "query_id").select("query_id", key, F.when(F.col("hits") == F.col("terms"), 1).otherwise(2).alias("stage"))
     like = docs.select(key, F.lower("text").alias("_low")).join(F.broadcast(queries.select("query_id", F.lower(F.trim("query")).alias("_q"))), F.contains("_low", "_q")).select("query_id", key, F.lit(3).alias("stage"))
     every = by_terms.union(like).groupBy("query_id", key).agg(F.min("stage").alias("stage"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
 from ..functions import segment, text
@@ -155,10 +157,11 @@ _BM = f"""q AS ({_QUERY}), qt AS (SELECT query_id, unnest(list_distinct(list_sli
     f AS (SELECT term, count(*) AS df FROM h GROUP BY 1),
     s AS (SELECT query_id, doc_id, count(*) AS hits, sum(greatest(CAST(1e-6 AS DOUBLE), ln((n - df + CAST(0.5 AS DOUBLE)) / (df + CAST(0.5 AS DOUBLE)))) * tf * CAST(2.2 AS DOUBLE) / (tf + CAST(1.2 AS DOUBLE) * (CAST(0.25 AS DOUBLE) + CAST(0.75 AS DOUBLE) * dl / avgdl))) AS score
           FROM h JOIN f USING (term) JOIN qt USING (term), n GROUP BY 1, 2)"""
+_BM_WHOLE = re.sub(r"list_slice\((.*), 1, 8\)", r"\1", _BM)
 _NORM = "list_sum([CAST(x AS DOUBLE) * CAST(x AS DOUBLE) FOR x IN {}.embedding])"
 _COS = f"list_sum([CAST(a.embedding[i] AS DOUBLE) * CAST(b.embedding[i] AS DOUBLE) FOR i IN range(1, 65)]) / (sqrt({_NORM.format('a')}) * sqrt({_NORM.format('b')}))"
 ORACLE_SQL = {
-    "bm25_search": f"WITH {_BM} SELECT query_id, doc_id, hits, floor(score * 1000000 + 0.5) / 1000000.0 AS score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 5",
+    "bm25_search": f"WITH {_BM_WHOLE} SELECT query_id, doc_id, hits, floor(score * 1000000 + 0.5) / 1000000.0 AS score FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) <= 5",
     "staged_fallback": f"""WITH {_BM}, k AS (SELECT query_id, count(*) AS terms FROM qt GROUP BY 1), e AS (SELECT query_id, doc_id, CASE WHEN hits = terms THEN 1 ELSE 2 END AS stage FROM s JOIN k USING (query_id) UNION ALL SELECT query_id, doc_id, 3 FROM q, documents d WHERE contains(lower(d.text), lower(trim(query)))),
         m AS (SELECT query_id, doc_id, min(stage) AS stage FROM e GROUP BY 1, 2) SELECT query_id, CAST(stage AS BIGINT) AS stage, count(*) AS n FROM m WHERE stage = (SELECT min(stage) FROM m x WHERE x.query_id = m.query_id) GROUP BY 1, 2""",
     "phrase_search": "SELECT doc_id, CAST((length(lower(text)) - length(replace(lower(text), 'and the', ''))) // 7 AS BIGINT) AS n FROM documents WHERE contains(lower(text), 'and the')",

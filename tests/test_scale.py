@@ -19,3 +19,10 @@ def test_bm25_adds_up_the_same_in_any_order(spark, tmp_path):
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
     assert len({r.score for r in got if r.doc_id < 300}) == 1
+
+
+def test_bm25_takes_every_word_of_a_query(spark):
+    docs = spark.createDataFrame([(1, "zebra"), (2, "one two"), (3, "other"), (4, "words"), (5, "more")], "doc_id long, text string")
+    q = spark.createDataFrame([(7, "one two three four five six seven eight nine zebra")], "query_id long, query string")
+    assert {r.doc_id: r.hits for r in search.bm25(docs, q).collect()} == {1: 1, 2: 2}
+    assert {r.doc_id for r in search.staged(docs, q).collect()} == {2}
