@@ -143,10 +143,18 @@ def cluster_keywords(papers: DataFrame, top: int = 5) -> DataFrame:
 
 
 def cluster_peers(papers: DataFrame, seeds: DataFrame, k: int = 5) -> DataFrame:
-    """The best ranked k papers of each seed's cluster, itself excluded."""
-    own = papers.join(seeds, "doi", "left_semi").where("cluster > 0").select(F.col("doi").alias("seed"), "cluster")
-    peers = own.join(papers.select("doi", "cluster", "paper_rank"), "cluster").where("doi <> seed")
-    return peers.withColumn("nth", F.row_number().over(Window.partitionBy("seed").orderBy(F.desc("paper_rank"), "doi")).cast("bigint")).where(F.col("nth") <= k).select("seed", "nth", "doi")
+    """The best ranked k papers of each seed's cluster, itself excluded.
+
+    Seeds meet the head of their cluster only: the best 2k rows, of which at most k belong to one paper, leave k others.
+    """
+    best = (F.desc("paper_rank"), "doi")
+    rows = papers.where("cluster > 0").select("doi", "cluster", "paper_rank")
+    own = rows.join(seeds, "doi", "left_semi").select(F.col("doi").alias("seed"), "cluster")
+    heads = rows
+    for keys, most in ((["cluster", "doi"], k), (["cluster"], 2 * k)):
+        heads = heads.withColumn("_nth", F.row_number().over(Window.partitionBy(*keys).orderBy(*best))).where(F.col("_nth") <= most).drop("_nth")
+    peers = own.join(heads, "cluster").where("doi <> seed")
+    return peers.withColumn("nth", F.row_number().over(Window.partitionBy("seed").orderBy(*best)).cast("bigint")).where(F.col("nth") <= k).select("seed", "nth", "doi")
 
 
 def paper_rank(papers: DataFrame, edges: DataFrame, damping: float = 0.85, max_rounds: int = 100, tolerance: float = 1e-6, rounds: int | None = None) -> DataFrame:

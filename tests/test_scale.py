@@ -2,7 +2,7 @@
 
 import random
 
-from bibliolith.operators import search
+from bibliolith.operators import graph, search
 
 
 def test_bm25_adds_up_the_same_in_any_order(spark, tmp_path):
@@ -26,3 +26,16 @@ def test_bm25_takes_every_word_of_a_query(spark):
     q = spark.createDataFrame([(7, "one two three four five six seven eight nine zebra")], "query_id long, query string")
     assert {r.doc_id: r.hits for r in search.bm25(docs, q).collect()} == {1: 1, 2: 2}
     assert {r.doc_id for r in search.staged(docs, q).collect()} == {2}
+
+
+def test_cluster_peers_meet_the_head_of_a_cluster_only(spark):
+    rows = [(str(i), i % 3, float(i % 40)) for i in range(600)] + [("597", 0, 99.0)] * 7
+    p = spark.createDataFrame(rows, "doi string, cluster long, paper_rank double")
+    seeds = p.where("doi % 2 = 1").select("doi").distinct()
+    r = graph.cluster_peers(p, seeds, 5)
+    want = []
+    for seed in sorted({(d, c) for d, c, _ in rows if c > 0 and int(d) % 2}):
+        best = sorted((-x, d) for d, c, x in rows if c == seed[1] and d != seed[0])[:5]
+        want += [(seed[0], n, d) for n, (_, d) in enumerate(best, 1)]
+    assert sorted(map(tuple, r.collect())) == sorted(want)
+    assert "WindowGroupLimit" in r._jdf.queryExecution().executedPlan().toString().split("SortMergeJoin")[-1]
