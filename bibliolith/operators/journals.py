@@ -53,18 +53,28 @@ def lookup(papers: DataFrame, metrics: DataFrame) -> DataFrame:
 def match_titles(wanted: DataFrame, known: DataFrame, block: int = 12) -> DataFrame:
     """(query_id, doi): the first known record whose title is that of the query or begins with it, or the other way round.
 
-    Titles are compared in lower case with single blanks. Titles meet by their first `block` characters, shorter ones by all of
-    theirs, so no title meets all others. known: position, doi, title.
+    Titles are compared in lower case with single blanks, each text once, however many records have it. A title's heads meet whole
+    titles by equality: heads of under `block` characters all, longer ones where a title of that length begins with the same
+    `block` characters. Of all records with a head only the first goes on, so no title meets all others. known: position, doi, title.
     """
     clean = lambda c: F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
+    left = lambda c, n: F.expr(f"left({c}, {n})")
+    first = lambda df, by: df.groupBy(by).agg(F.min("position").alias("position"), F.min_by("doi", "position").alias("doi"))
     q = wanted.select("query_id", clean(F.col("title")).alias("q")).where("q <> ''")
-    k = known.select("position", "doi", clean(F.col("title")).alias("t")).where("t <> ''")
-    # the shorter of a pair is the head of the longer one at its own length (at most `block`)
-    lengths = q.select(F.least(F.length("q"), F.lit(block)).alias("n")).union(k.select(F.least(F.length("t"), F.lit(block)))).agg(F.array_sort(F.collect_set("n")).alias("ns"))
-    every = lambda df, c: df.crossJoin(F.broadcast(lengths)).select(*df.columns, F.explode(F.filter("ns", lambda n: n <= F.length(c))).alias("n")).withColumn("head", F.expr(f"left({c}, n)"))
-    own = lambda df, c: df.withColumn("n", F.least(F.length(c), F.lit(block))).withColumn("head", F.expr(f"left({c}, n)"))
-    pairs = own(q, "q").join(every(k, "t"), ["n", "head"]).unionByName(every(q, "q").join(own(k, "t"), ["n", "head"])).where(F.startswith("t", "q") | F.startswith("q", "t"))
-    return pairs.groupBy("query_id").agg(F.min_by("doi", "position").alias("doi"))
+    k = first(known.select("position", "doi", clean(F.col("title")).alias("t")).where("t <> ''"), "t")
+    asked = q.select("q").distinct()
+
+    def heads(rows: DataFrame, c: str, whole: DataFrame, w: str) -> DataFrame:
+        lengths = whole.where(F.length(w) >= block).groupBy(left(w, block).alias("_s")).agg(F.collect_set(F.length(w)).alias("_n"))
+        short = rows.select("*", F.explode(F.sequence(F.lit(1), F.least(F.length(c), F.lit(block - 1)))).alias("_n"))
+        long = rows.where(F.length(c) >= block).withColumn("_s", left(c, block)).join(lengths, "_s").drop("_s")
+        long = long.withColumn("_n", F.explode(F.filter("_n", lambda n: n <= F.length(c))))
+        return short.unionByName(long).withColumn("head", left(c, "_n")).drop("_n")
+
+    begins = heads(asked, "q", k, "t").join(k.withColumnRenamed("t", "head"), "head").select("q", "position", "doi")
+    goes_on = first(heads(k, "t", asked, "q"), "head").join(asked.withColumnRenamed("q", "head"), "head").select(F.col("head").alias("q"), "position", "doi")
+    best = first(begins.unionByName(goes_on), "q")
+    return q.join(best, "q").groupBy("query_id").agg(F.min_by("doi", "position").alias("doi"))
 
 
 def match_names(short: DataFrame, full: DataFrame) -> DataFrame:

@@ -2,7 +2,20 @@
 
 import random
 
-from bibliolith.operators import graph, search
+from bibliolith.operators import graph, journals, search
+
+
+def most_rows(plan):
+    """The most rows that an operator of a plan that has run put out."""
+    nodes, most = [plan], 0
+    while nodes:
+        p = nodes.pop()
+        if p.metrics().contains("numOutputRows"):
+            most = max(most, p.metrics().apply("numOutputRows").value())
+        kind = p.getClass().getSimpleName()
+        nodes += [p.executedPlan()] if kind == "AdaptiveSparkPlanExec" else [p.plan()] if kind.endswith("QueryStageExec") else []
+        nodes += [p.children().apply(i) for i in range(p.children().size())]
+    return most
 
 
 def test_bm25_adds_up_the_same_in_any_order(spark, tmp_path):
@@ -39,3 +52,20 @@ def test_cluster_peers_meet_the_head_of_a_cluster_only(spark):
         want += [(seed[0], n, d) for n, (_, d) in enumerate(best, 1)]
     assert sorted(map(tuple, r.collect())) == sorted(want)
     assert "WindowGroupLimit" in r._jdf.queryExecution().executedPlan().toString().split("SortMergeJoin")[-1]
+
+
+def test_titles_of_many_copies_meet_once(spark):
+    rnd = random.Random(5)
+    names = ["".join(rnd.choice("ab ") for _ in range(rnd.randrange(1, 22))) for _ in range(150)]
+    known = [(i, f"d{i}", rnd.choice(names).upper() if i % 3 else "a common beginning " + rnd.choice(names)) for i in range(400)] + [(1000 + i, f"c{i}", "Same  title") for i in range(3000)]
+    wanted = [(i, rnd.choice(names)[: rnd.randrange(1, 22)] if i % 2 else "a common beginning " + rnd.choice(names)) for i in range(200)] + [(1000 + i, "same title, revisited") for i in range(3000)]
+    clean = lambda t: " ".join(t.lower().split())
+    want = {}
+    for i, t in wanted[:201]:
+        fit = [(p, d) for p, d, n in known if clean(t) and clean(n) and (clean(t).startswith(clean(n)) or clean(n).startswith(clean(t)))]
+        want.update({i: min(fit)[1]} if fit else {})
+    want.update({i: want[1000] for i, _ in wanted[200:]})
+    r = journals.match_titles(spark.createDataFrame(wanted, "query_id long, title string"), spark.createDataFrame(known, "position long, doi string, title string"))
+    assert {x.query_id: x.doi for x in r.collect()} == want
+    plan = r._jdf.queryExecution().executedPlan()
+    assert most_rows(plan) < 100_000
