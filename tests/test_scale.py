@@ -1,8 +1,16 @@
 """Results that must hold whole and the same at any size or order of rows."""
 
+import os
 import random
+from pathlib import Path
+
+import duckdb
+import pytest
 
 from bibliolith.operators import graph, journals, search
+from bibliolith.plans import sequence_queries
+
+DATA = Path(os.environ.get("TESTDATA", "/root/testdata")) / "sf0.01"
 
 
 def most_rows(plan):
@@ -69,3 +77,14 @@ def test_titles_of_many_copies_meet_once(spark):
     assert {x.query_id: x.doi for x in r.collect()} == want
     plan = r._jdf.queryExecution().executedPlan()
     assert most_rows(plan) < 100_000
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="no test tables")
+def test_community_weights_are_counted_before_the_join(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(sequence_queries.communities, "cluster", lambda pairs, **k: seen.append(pairs) or (spark.range(1).withColumnRenamed("id", "community"), ""))
+    sequence_queries.community_sizes(spark, str(DATA))
+    got = sorted(map(tuple, seen[0].collect()))
+    want = duckdb.sql(f"SELECT c_nationkey, s_nationkey, count(*) FROM '{DATA}/customer.parquet' JOIN '{DATA}/supplier.parquet' ON c_custkey % 25 = s_suppkey % 25 GROUP BY 1, 2").fetchall()
+    assert got == sorted(want) and dict(seen[0].dtypes)["weight"] == "bigint"
+    assert most_rows(seen[0]._jdf.queryExecution().executedPlan()) < sum(n for _, _, n in want)
