@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from bibliolith.operators import graph, journals, search, vector
+from bibliolith.operators import graph, journals, search, similar, vector
 from bibliolith.plans import sequence_queries
 
 DATA = Path(os.environ.get("TESTDATA", "/root/testdata")) / "sf0.01"
@@ -105,3 +105,23 @@ def test_nearest_sifts_by_products_and_scores_exactly(spark):
     order = ["query_id", "nth", "vec_id", "score"]
     assert sorted(map(tuple, r.select(*order).collect()), key=repr) == sorted(map(tuple, want.select(*order).collect()), key=repr)
     assert most_rows(r._jdf.queryExecution().executedPlan()) < 5 * 1003
+
+
+def test_dice_pairs_lose_no_link_and_expand_no_copies(spark):
+    rnd = random.Random(8)
+    docs = []
+    for i in range(60):
+        words = [f"w{rnd.randrange(400)}" for _ in range(rnd.choice([5, 12, 30, 80]))]
+        for _ in range(rnd.randrange(1, 5)):
+            docs.append((len(docs), " ".join(w if rnd.random() > 0.04 else f"x{rnd.randrange(99)}" for w in words)))
+    docs += [(len(docs) + i, "the same words here") for i in range(200)] + [(5000, "")]
+    sets = {i: frozenset(t.split()) for i, t in docs}
+    first = {}
+    for i, s in sorted(sets.items()):
+        first.setdefault(s, i)
+    value = lambda s, t: 2 * len(s & t) / (len(s) + len(t))
+    for least in (0.9, 0.6):
+        want = {(a, b): value(s, t) for s, a in first.items() for t, b in first.items() if s and t and a < b and value(s, t) >= least}
+        want |= {(first[s], i): 1.0 for i, s in sets.items() if s and first[s] < i}
+        got = similar.dice_pairs(spark.createDataFrame(docs, "doc_id long, text string"), F.filter(F.split("text", " "), lambda w: w != ""), least)
+        assert {(r.a, r.b): r.dice for r in got.collect()} == want and len(want) > 250
