@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions.text import initials, journal_key, loose_journal_key, surname
+from ..scratch import materialize
 from .merge import first_by
 
 
@@ -116,11 +117,34 @@ def enrich_hits(hits: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def shared_concepts(concepts: DataFrame, least: int = 1) -> DataFrame:
-    """(a, b, shared): documents a < b and the concepts they share, `least` or more, in order of name. Pairs grow with the square of a concept's documents."""
-    a, b = (concepts.select(F.col("doi").alias(k), "name").distinct() for k in "ab")
+    """(a, b, shared): documents a < b and the concepts they share, `least` or more, in order of name.
+
+    For two or more, documents meet by pairs of concepts where these are fewer than the pairs of documents that share a concept: pairs
+    then grow with the square of a document's concepts, not of a concept's documents. They meet by a hash, and their concepts are compared.
+    """
+    each = concepts.where("doi is not null and name is not null").select("doi", "name").distinct()
+    if least > 1:
+        each = materialize(each, "concepts")
+        pairs = F.coalesce(F.sum(F.col("count").cast("decimal(20,0)") * (F.col("count") - 1)), F.lit(0))
+        by_name, by_doc = (each.groupBy(c).count().agg(pairs).first()[0] for c in ("name", "doi"))
+        if by_doc < by_name:
+            return _by_concept_pairs(each, least)
+    a, b = (each.withColumnRenamed("doi", k) for k in "ab")
     return a.join(b, "name").where("a < b").groupBy("a", "b").agg(F.array_sort(F.collect_set("name")).alias("shared")).where(F.size("shared") >= least)
 
 
+def _by_concept_pairs(each: DataFrame, least: int) -> DataFrame:
+    """`shared_concepts` of distinct rows (doi, name) for two or more."""
+    lists = materialize(each.groupBy("doi").agg(F.array_sort(F.collect_list("name")).alias("names")).where(F.size("names") >= least), "concept-lists")
+    one = lists.select("doi", "names", F.posexplode("names").alias("i", "x"))
+    two = one.select("doi", F.explode(F.transform(F.slice("names", F.col("i") + 2, F.size("names")), lambda y: F.xxhash64("x", y))).alias("h"))
+    a, b = (two.withColumnRenamed("doi", k) for k in "ab")
+    met = materialize(a.join(b, "h").where("a < b").select("a", "b").distinct(), "concept-candidates")
+    for k in "ab":
+        met = met.join(lists.select(F.col("doi").alias(k), F.col("names").alias(f"n{k}")), k)
+    return met.select("a", "b", F.array_sort(F.array_intersect("na", "nb")).alias("shared")).where(F.size("shared") >= least)
+
+
 def canonical_concepts(concepts: DataFrame, least: int = 3) -> tuple[DataFrame, DataFrame]:
     """(doi, name, definition) with the longest definition of each name in a document, and (name, papers) of names in `least` documents or more."""
     from ..functions.text import concept

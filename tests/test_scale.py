@@ -153,3 +153,13 @@ def test_near_paragraphs_compare_alike_ones_only(spark, monkeypatch):
     monkeypatch.setattr(audit, "dice_sets", lambda *a: seen.append(a) or real(*a))
     got = audit.near_paragraphs(spark.createDataFrame(rows, "doc_id string, idx long, text string, section string, is_heading boolean"))
     assert {r.idx: (r.kept, r.duplicate_of) for r in got.collect()} == want and len(seen) == 1
+
+
+def test_shared_concepts_meet_by_pairs_of_concepts(spark):
+    rnd = random.Random(10)
+    docs = {f"d{i}": {f"c{rnd.randrange(25)}" for _ in range(rnd.randrange(1, 5))} for i in range(500)}
+    rows = [(d, c) for d, cs in docs.items() for c in cs] + [(None, "c1"), ("d1", None)]
+    r = journals.shared_concepts(spark.createDataFrame(rows, "doi string, name string"), 2)
+    want = {(a, b): sorted(s & t) for a, s in docs.items() for b, t in docs.items() if a < b and len(s & t) >= 2}
+    assert {(x.a, x.b): x.shared for x in r.collect()} == want
+    assert most_rows(r._jdf.queryExecution().executedPlan()) < 2 * len(want)
